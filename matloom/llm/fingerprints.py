@@ -1,28 +1,27 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text falls into paragraphs: its lines, cut on at full stops, and at content-chosen words where
-that leaves more than LONG code points; white space around them doesn't count. Each is hashed with
-its number among equal ones, so a repeated paragraph counts as often as it
-stands. The fingerprint is a table of CELLS cells (count, XOR of digests, XOR of checks); each
-digest goes into three of them. Subtracting two tables leaves the digests on which
-the texts differ, and peeling cells that hold one digest recovers these. If that
-fails, larger tables are built, each four times the last, until it succeeds.
+A text falls into paragraphs: words up to the end of a line, cut on at content-chosen words, one in
+SPARSE. Among the first OPENING words, sentences end paragraphs too and one word in DENSE is chosen, so that
+short texts have several. White space doesn't count. Each is hashed with its number among equal ones, so a
+repeated paragraph counts as often as it stands. The fingerprint is a table of CELLS cells
+(count, XOR of digests, XOR of checks); each digest goes into three of them. Subtracting two tables
+leaves the digests on which the texts differ, and peeling cells that hold one digest recovers
+these. If that fails, larger tables are built, from the size that the least digests of both make likely
+and each twice the last, until it succeeds.
 
 likeness(A, B) = 2 * shared / (count A + count B), with shared from the recovered
-difference: 1 for equal texts and for two without a paragraph, 0 if nothing is shared.
+difference: 1 for equal texts and for two without a word, 0 if nothing is shared.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,37 +29,47 @@ from pyspark.sql import types as T
 from . import vectext as V
 
 CELLS = 24
-LONG = 256
+OPENING, DENSE, SPARSE = 48, 4, 16
+#: Least digests of either text that are compared to guess a table's size.
+SAMPLE = 16
 _HASHES = 3
-_PIECE = re.compile(r"[^.\n]+\.?|\.")
-_WORDS = re.compile(r"\S+")
-
-
-def paragraphs(text: str) -> list[str]:
-    found = []
-    for piece in _PIECE.findall(text):
-        if len(piece) <= LONG:
-            found.append(piece.strip())
-            continue
-        at = 0
-        for m in _WORDS.finditer(piece):
-            if xxhash.xxh32_intdigest(m.group().encode()) % 8 == 0:
-                found.append(piece[at : m.end()].strip())
-                at = m.end()
-        found.append(piece[at:].strip())
-    return [x for x in found if x]
-
-
-def digests(text: str) -> np.ndarray:
-    """One 64-bit digest for each paragraph; equal ones differ by their number."""
-    pieces = paragraphs(text)
-    keys = [xxhash.xxh64_intdigest(x.encode()) for x in pieces]
-    if len(set(keys)) < len(keys):
-        seen: dict[int, int] = {}
-        for i, k in enumerate(keys):
-            seen[k] = n = seen.get(k, -1) + 1
-            keys[i] = (k + n * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF if n else k
-    return np.array(keys, np.uint64)
+_ENDS = np.zeros(256, bool)
+_ENDS[[ord(c) for c in ".!?"]] = True
+
+
+def digests(texts: list[str]) -> list[np.ndarray]:
+    """For each text, one 64-bit digest a paragraph; equal ones differ by their number."""
+    data, offsets = V.spelled(pa.array(texts, pa.string()))
+    return [x for a, b in V.sliced(offsets, 4 * V.SLICE_BYTES) for x in _digests(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]
+
+
+def _digests(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    starts, ends, firsts = V.spans(data, offsets, V.UNSPACED)
+    n = len(starts)
+    if not n:
+        return [np.zeros(0, np.uint64)] * (len(offsets) - 1)
+    words = V.hashed(data, starts, ends)
+    place = np.arange(n) - np.repeat(firsts[:-1], np.diff(firsts))
+    lines = np.concatenate([[0], np.cumsum(data == 10)])
+    opening = place < OPENING
+    cut = (opening & _ENDS[data[ends - 1]]) | (words % np.where(opening, DENSE, SPARSE).astype(np.uint64) == 0)
+    cut[:-1] |= lines[starts[1:]] > lines[ends[:-1]]
+    cut[firsts[1:][np.diff(firsts) > 0] - 1] = True
+    at = np.flatnonzero(cut)
+    begin = np.concatenate([[0], at[:-1] + 1])
+    power, inverse = V.powers(n)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(words * power[:n], out=sums[1:])
+    keys = V.mixed((sums[at + 1] - sums[begin]) * inverse[begin])
+    row = np.searchsorted(firsts, begin, "right") - 1
+    order = np.lexsort((keys, row))
+    k, r = keys[order], row[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (r[1:] != r[:-1])
+    number = np.arange(len(k)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    again = number > 0
+    k[again] = V.mixed(k[again] + number[again].astype(np.uint64))
+    return np.split(k, np.searchsorted(r, np.arange(1, len(offsets) - 1)))
 
 
 class Sketches:
@@ -138,19 +147,24 @@ def sketches(lists: list[np.ndarray], cells: int = CELLS) -> Sketches:
 def differences(a: list[np.ndarray], b: list[np.ndarray], first: Sketches) -> np.ndarray:
     """How many digests each pair doesn't share. first: the subtracted tables of the usual size."""
     sizes, whole = first.peeled()
-    cells, left = first.cells * 4, np.flatnonzero(~whole)
+    left = np.flatnonzero(~whole)
+    need = np.zeros(len(a), np.int64)
+    for i in left.tolist():
+        x, y = a[i][:SAMPLE], b[i][:SAMPLE]
+        likely = (len(a[i]) + len(b[i])) * (1 - len(set(x.tolist()) & set(y.tolist())) / max(len(x), len(y), 1))
+        need[i] = first.cells * 2 ** max(1, int(np.ceil(np.log2(max(1.0, 1.5 * likely / first.cells)))))
     for _ in range(16):
         if not len(left):
             return sizes
-        # A table can't give back more digests than it has cells: pairs whose counts differ by more wait for a larger one.
-        for_now = np.array([i for i in left if abs(len(a[i]) - len(b[i])) < cells], np.int64)
-        if len(for_now):
-            table = Sketches(len(for_now), cells)
-            table.add(*_flat([a[i] for i in for_now]))
-            table.add(*_flat([b[i] for i in for_now]), -1)
-            sizes[for_now], whole = table.peeled()
-            left = np.setdiff1d(left, for_now[whole])
-        cells *= 4
+        for cells in np.unique(need[left]).tolist():
+            now = left[need[left] == cells]
+            table = Sketches(len(now), cells)
+            table.add(*_flat([a[i] for i in now]))
+            table.add(*_flat([b[i] for i in now]), -1)
+            sizes[now], whole = table.peeled()
+            need[now[whole]] = 0
+            need[now[~whole]] *= 2
+        left = left[need[left] > 0]
     for i in left:  # sixteen tables in a row failed: compare the digests themselves
         sizes[i] = len(np.setxor1d(a[i], b[i]))
     return sizes
@@ -172,7 +186,7 @@ def fingerprints(documents: DataFrame, text: str = "text", cells: int = CELLS) -
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             made: list[str] = []
             for at in range(0, len(texts), 256):
-                own = sketches([digests(t or "") for t in texts[at : at + 256]], cells)
+                own = sketches(digests([t or "" for t in texts[at : at + 256]]), cells)
                 made += [own.spelled(k) for k in range(own.n)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], schema.names)
 
@@ -224,13 +238,13 @@ def compared(documents: DataFrame, cells: int = CELLS) -> DataFrame:
     sent = sent.select("doc_id", "text", "k", "p.b", "p.look").repartition(F.col("b")).sortWithinPartitions("b", "look", "k", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []  # (range, look, doc_id, text, digests), from the last that has no next yet
+        rows: list[tuple] = []  # (range, look, doc_id, text), from the last that has no next yet
         for batch in batches:
             names = batch.schema.names
             for b, look, doc, text in zip(*[batch.column(names.index(c)).to_pylist() for c in ("b", "look", "doc_id", "text")], strict=True):
                 if look and rows and rows[-1][0] == b and rows[-1][1]:
                     continue
-                rows.append((b, look, doc, text, digests(text)))
+                rows.append((b, look, doc, text))
                 if len(rows) >= 512:
                     yield _told(rows, cells)
                     rows = rows[-1:]
@@ -247,7 +261,9 @@ def _told(rows: list[tuple], cells: int) -> pa.RecordBatch:
     for x, y in own:
         cut = len(x[3]) // 4
         edited.append(x[3][: len(x[3]) - cut] + y[3][:cut] if cut else x[3])
-    mine, theirs, changed = [x[4] for x, _ in own], [y[4] for _, y in own], [x[4] if e is x[3] else digests(e) for (x, _), e in zip(own, edited, strict=True)]
+    every = digests([x[3] for x in rows])
+    mine, theirs = ([every[k + step] for k, x in enumerate(rows[:-1]) if not x[1] and x[0] == rows[k + 1][0]] for step in (0, 1))
+    changed = digests(edited)
     a, e, n = (sketches(lists, cells) for lists in (mine, changed, theirs))
     columns = [
         pa.array([x[2] for x, _ in own], pa.int64()),

@@ -63,7 +63,8 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base^i and base^-i mod 2^64 for i up to n at least."""
     if len(_powers[0]) < n + 1:
         size = 1 << (n + 1).bit_length()
         with np.errstate(over="ignore"):
@@ -95,7 +96,7 @@ def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np
 
 def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte runs, equal for equal runs wherever they stand."""
-    power, inverse = _power(len(data))
+    power, inverse = powers(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
     return mixed((sums[ends] - sums[starts]) * inverse[starts])
