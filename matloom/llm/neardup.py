@@ -8,10 +8,11 @@ probability (1 - 0.8^4)^32 < 1e-7.
 
 Depth adapts by region. First, all nodes of a region are compared with its least node alone, which is
 linear in its size; what links is merged. Only regions that then still hold several
-components are searched deeper: nodes outside the region's main component are compared with all
-nodes of other components there, those excepted whose 128 further signature bits already rule a
-link out. So a large group of near copies costs one comparison a node and tree, while no candidate
-link between components is skipped. Links are confirmed on full shingle sets.
+components are searched deeper: their nodes are sorted by 128 further signature bits, in an order of
+each region's own, and neighbours by longest common prefix of different components are compared and
+merged. What is left after that is compared in full, but for pairs that prefix filtering on the nodes'
+shingles, signature bits or set sizes rule out. So a large group of near copies costs a few
+comparisons a node and tree, while no candidate link between components is skipped. Links are confirmed on full shingle sets.
 
 Null, empty and wordless texts have an empty set and are linked with nothing; a document of fewer words
 than k has its whole sequence as one shingle; equal rows share a component, as do rows of one doc_id
@@ -28,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from ..session import written
 from . import vectext as V
@@ -36,6 +38,8 @@ from .components import components
 TREES, DEPTH = 32, 4
 #: Of 128 one-bit MinHash values, a pair of similarity 0.8 agrees in 115 on average, standard deviation 3.4.
 AGREE = 88
+#: Rounds of neighbours by longest common prefix before what is left is compared in full.
+NEIGHBOUR_ROUNDS = 1
 
 _random = np.random.default_rng(20240229)
 _A = (_random.integers(0, 1 << 31, TREES * DEPTH, dtype=np.int64).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -160,6 +164,45 @@ def _close(x: str, y: str, percent: int):  # noqa: ANN202
     return (apart <= 128 - AGREE) & (100 * F.least(x + "n", y + "n") >= percent * F.greatest(x + "n", y + "n"))
 
 
+def _undecided(shared: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(region, node, c, n, bits0, bits1) of the regions that hold several components, written."""
+    member = shared.select("region", "node").join(groups, "node", "left").select("region", "node", F.coalesce("component", "node").alias("c"))
+    several = member.groupBy("region").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("region")
+    return written(member.join(several, "region", "left_semi").join(nodes.select("node", "n", "bits0", "bits1"), "node"), "regions")
+
+
+def _prefixed(member: DataFrame, nodes: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
+    """All pairs (u, v) of member (node, c) of different components that can be linked at all, by prefix filtering.
+
+    Two sets of a similarity of percent share percent of either. So, with shingles in order of how
+    many members have them, rarest first, both have a shared one among their first n - ceil(percent * n / 100) + 1.
+    Edits make shingles that no other member has: those stand first, and a member of too many is ruled out alone.
+    """
+    wanted = member.join(nodes.select("node", "doc", "n"), "node")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).join(wanted, "doc").select("node", "c", "n", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy()
+            for a, b, data, offsets in V.rows_in(batch, "text"):
+                hashes, at = shingle_sets(data, offsets, k)
+                own = batch.slice(a, b - a)
+                found = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64)))
+                same = pa.array(np.diff(at) == n[a:b])  # else the text of another row of this doc_id
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), found], ["node", "c", "n", "shingles"]).filter(same)
+
+    sets = written(texts.mapInArrow(run, "node long, c long, n long, shingles array<long>").dropDuplicates(["node"]), "sets")
+    tokens = sets.select("node", "c", "n", F.explode("shingles").alias("t"))
+    known = tokens.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1")
+    by_node = W.partitionBy("node")
+    ranked = tokens.join(known, "t").withColumn("r", F.row_number().over(by_node.orderBy("df", "t"))).withColumn("known", F.count("*").over(by_node))
+    prefix = ranked.filter(F.col("n") - F.col("known") + F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    prefix = written(prefix.select("node", "c", "n", "t"), "prefix")
+    x, y = (prefix.select("t", *[F.col(c).alias(s + ("" if c == "node" else c)) for c in ("node", "c", "n")]) for s in "uv")
+    fit = (F.col("u") < F.col("v")) & (F.col("uc") != F.col("vc")) & (100 * F.least("un", "vn") >= percent * F.greatest("un", "vn"))
+    return x.join(y, "t").filter(fit).select("u", "v").distinct()
+
+
 def linked(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of documents: doc_id, n_shingles, component_id, kept."""
     signed = _signed(documents, k)
@@ -175,15 +218,25 @@ def linked(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     edges = written(_confirmed(first, nodes, documents, k, percent), "edges")
     groups = components(edges)
 
-    # Regions that hold several components still.
-    member = shared.join(groups, "node", "left").select("region", "node", F.coalesce("component", "node").alias("c"))
-    several = member.groupBy("region").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("region")
-    member = written(member.join(several, "region", "left_semi").join(nodes.select("node", "n", "bits0", "bits1"), "node"), "regions")
-    main = member.groupBy("region", "c").agg(F.count("*").alias("m")).groupBy("region").agg(F.max_by("c", F.struct("m", "c")).alias("main"))
-    named = lambda d, x: d.select("region", *[F.col(c).alias(x + ("" if c == "node" else c)) for c in ("node", "c", "n", "bits0", "bits1")])
-    others = member.join(main, "region").filter("c != main").drop("main")
-    pairs = named(others, "u").join(named(member, "v"), "region").filter((F.col("uc") != F.col("vc")) & _close("u", "v", percent)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    pairs = written(pairs.join(first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"), "pairs")
+    # Neighbours of several orders: in each region that holds several components still, by longest common prefix of the further bits.
+    tried = first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    for turn in range(NEIGHBOUR_ROUNDS):
+        member = _undecided(shared, groups, nodes)
+        turned = F.expr(f"shiftrightunsigned(bits{turn % 2}, pmod(region, 64)) | shiftleft(bits{turn % 2}, pmod(64 - region, 64))")
+        order = W.partitionBy("region").orderBy(turned, "node")
+        beside = member.withColumns({"u": F.lag("node").over(order), **{f"u{c}": F.lag(c).over(order) for c in ("c", "n", "bits0", "bits1")}})
+        near = beside.select("u", "uc", "un", "ubits0", "ubits1", *[F.col(c).alias("v" + ("" if c == "node" else c)) for c in ("node", "c", "n", "bits0", "bits1")])
+        pairs = near.filter((F.col("uc") != F.col("vc")) & _close("u", "v", percent)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        pairs = written(pairs.join(tried, ["u", "v"], "left_anti"), "neighbours")
+        if not pairs.limit(1).count():
+            break
+        tried = tried.unionByName(pairs)
+        edges = written(edges.unionByName(_confirmed(pairs, nodes, documents, k, percent)), "edges")
+        groups = components(edges)
+
+    # What is left is compared in full.
+    member = _undecided(shared, groups, nodes).select("node", "c").distinct()
+    pairs = written(_possible(_prefixed(member, nodes, documents, k, percent), nodes, percent).join(tried, ["u", "v"], "left_anti"), "pairs")
     if pairs.limit(1).count():
         groups = components(edges.unionByName(_confirmed(pairs, nodes, documents, k, percent)))
 
