@@ -1,15 +1,453 @@
-"""All registered queries of the engine, with their SQL."""
+"""All registered queries of the engine, with their SQL.
+
+The driver's tables hold no chemistry, so formulas, temperatures and review rows are derived from their
+keys by the same arithmetic in both languages.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import elements as E
+from ..functions import text as X
+from ..operators import dataset as D
+from ..operators import extract, features, learning
+from ..session import table
+
+_FOUND: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+DIGITS = 6
+
+
+def query(sql: str | None = None):  # noqa: ANN201
+    def keep(f):  # noqa: ANN001, ANN202
+        _FOUND[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_FOUND)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _round(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, DIGITS) for c in columns})
+
+
+_DOPANTS = ("Cu", "Co", "I", "W", "Fe", "Cl")
+_FORMULA = "concat('Bi', cast(200 - p_size as varchar(9)), 'Te300', CASE p_partkey % 7 WHEN 0 THEN 'Cu' WHEN 1 THEN 'Co' WHEN 2 THEN 'I' WHEN 3 THEN 'W' WHEN 4 THEN 'Fe' WHEN 5 THEN 'Cl' ELSE '' END, CASE WHEN p_partkey % 7 < 6 THEN cast(p_size as varchar(9)) ELSE '' END, CASE WHEN p_partkey % 5 = 0 THEN '_Se2Te1' ELSE '' END)"
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice", F.expr(_FORMULA).alias("formula"), (F.col("p_size") + 250).alias("kelvin"))
+
+
+_PARTS = f"parts AS (SELECT p_partkey, p_size, p_retailprice, {_FORMULA} AS formula, p_size + 250 AS kelvin FROM part)"
+_COMP = f"""{_PARTS},
+tokens AS (SELECT p_partkey, unnest(regexp_extract_all(formula, '[A-Z][a-z]*[0-9.]*')) AS t FROM parts),
+comp AS (SELECT p_partkey, regexp_extract(t, '^[A-Z][a-z]*') AS symbol,
+  sum(CASE WHEN regexp_extract(t, '[0-9.]+$') = '' THEN 1.0 ELSE CAST(regexp_extract(t, '[0-9.]+$') AS DOUBLE) END) AS ratio FROM tokens GROUP BY ALL)"""
+_PROPS = "props(symbol, d, v) AS (VALUES " + ", ".join(f"('{s}', {d}, {v}::DOUBLE)" for s, d, v in E.known_properties() if s in ("Bi", "Te", "Se", *_DOPANTS)) + ")"
+_STATS = f"""{_COMP}, {_PROPS},
+j AS (SELECT p_partkey, d, ratio AS r, v, sum(ratio * v) OVER w AS total, sum(v) OVER w AS plain, sum(ratio) OVER w AS weight, avg(ratio * v) OVER w AS centre
+  FROM comp JOIN props USING (symbol) WHERE ratio <> 0 WINDOW w AS (PARTITION BY p_partkey, d)),
+stats AS (SELECT p_partkey, d,
+  coalesce(sum(r * v) FILTER (v <> 0) / nullif(sum(v) FILTER (v <> 0), 0), 0) AS WAM,
+  coalesce(exp(sum(r * ln(v)) FILTER (v > 0) / sum(r) FILTER (v > 0)), 0) AS WGM,
+  CASE WHEN any_value(plain) = 0 OR any_value(total) = 0 THEN 0 ELSE coalesce(-sum(r * v / total * log2(r * v / total)) FILTER (v > 0), 0) END AS WEM,
+  coalesce(sqrt(sum(r * (v - centre) * (v - centre)) / any_value(weight)), 0) AS WSD
+  FROM j GROUP BY ALL)"""
+
+
+def _composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.compositions(_parts(spark, sf_dir), "p_partkey", "formula")
+
+
+@query(f"WITH {_COMP} SELECT p_partkey, symbol, ratio FROM comp")
+def composition_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _composition(spark, sf_dir)
+
+
+@query(f"WITH {_COMP} SELECT p_partkey, " + ", ".join(f"coalesce(sum(ratio) FILTER (symbol = '{s}'), 0) AS {s}" for s in E.ELEMENTS) + " FROM comp GROUP BY p_partkey")
+def composition_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.dense(_composition(spark, sf_dir), "p_partkey")
+
+
+def _stat(name: str):  # noqa: ANN202
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        stats = features.statistics(_composition(spark, sf_dir), E.properties(spark), "p_partkey")
+        return stats.select("p_partkey", "descriptor_id", F.round(name, DIGITS).alias(name.lower()))
+
+    run.__name__ = f"legacy_{name.lower()}"
+    return query(f"WITH {_STATS} SELECT p_partkey, d AS descriptor_id, round({name}, {DIGITS}) AS {name.lower()} FROM stats")(run)
+
+
+for _name in features.STATS:
+    _stat(_name)
+
+
+@query(
+    f"WITH {_STATS} SELECT p_partkey, "
+    + ", ".join(f"round(max({x}) FILTER (d = {d}), {DIGITS}) AS T{d:02d}{s:02d}, round(max({x} * kelvin) FILTER (d = {d}), {DIGITS}) AS T{d:02d}{s + 4:02d}" for d in (5, 6, 21, 29) for s, x in enumerate(features.STATS, 1))
+    + " FROM stats JOIN parts USING (p_partkey) GROUP BY p_partkey"
+)
+def temperature_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _parts(spark, sf_dir)
+    stats = features.statistics(features.compositions(parts, "p_partkey", "formula"), E.properties(spark), "p_partkey")
+    out = features.wide(parts, stats, "p_partkey", "kelvin", [5, 6, 21, 29])
+    return _round(out, *[c for c in out.columns if c != "p_partkey"])
+
+
+@query()
+def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _parts(spark, sf_dir)
+    return features.wide(parts, features.statistics(features.compositions(parts, "p_partkey", "formula"), E.properties(spark), "p_partkey"), "p_partkey", "kelvin")
+
+
+_SCALED = ("l_quantity", "l_extendedprice", "constant")
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", F.lit(3.0).alias("constant"))
+
+
+def _scaling(offset: str, width: str) -> str:
+    parts = ", ".join(f"{offset.format(c)} AS {c}_o, {width.format(c)} AS {c}_w" for c in _SCALED)
+    out = ", ".join(f"round(({c} - {c}_o) / coalesce(nullif({c}_w, 0), 1), {DIGITS}) AS {c}" for c in _SCALED)
+    return f"WITH x AS (SELECT *, 3.0::DOUBLE AS constant FROM lineitem), p AS (SELECT {parts} FROM x) SELECT l_orderkey, l_linenumber, {out} FROM x, p"
+
+
+@query(_scaling("min({0})", "max({0}) - min({0})"))
+def minmax_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _items(spark, sf_dir)
+    return _round(features.scaled(df, list(_SCALED), features.scale_params(df, list(_SCALED), "minmax")), *_SCALED)
+
+
+@query(_scaling("avg({0})", "stddev_pop({0})"))
+def standard_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _items(spark, sf_dir)
+    return _round(features.scaled(df, list(_SCALED), features.scale_params(df, list(_SCALED), "standard")), *_SCALED)
+
+
+@query(
+    "WITH e AS (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) "
+    f"SELECT a.i, b.i AS j, round(abs(corr(a.x, b.x)), {DIGITS}) AS r FROM e a JOIN e b USING (vec_id) GROUP BY a.i, b.i"
+)
+def corr_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(features.correlations(table(spark, sf_dir, "embeddings"), "embedding"), "r")
+
+
+@query()
+def redundancy_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = {(str(x["i"]), str(x["j"])): x["r"] for x in features.correlations(table(spark, sf_dir, "embeddings"), "embedding").collect()}
+    chosen = features.greedy([str(i) for i in range(64)], r)
+    return spark.createDataFrame([(k, int(f)) for k, f in enumerate(chosen, 1)], "rank int, feature int")
+
+
+@query(f"SELECT p_partkey, round(p_size / sum(p_size) OVER (), 12) AS weight FROM part")
+def normalize_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.normalized_importance(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_size").select("p_partkey", F.round("weight", 12).alias("weight"))
+
+
+_P = learning.PHI
+_EI = f"""scored AS (SELECT s_suppkey, s_nationkey, s_acctbal AS mu, greatest((s_suppkey % 97) * 10.0, 1e-9) AS sigma FROM supplier),
+z AS (SELECT *, mu - 9000 AS gain, (mu - 9000) / sigma AS z FROM scored),
+d AS (SELECT *, exp(-z * z / 2) / {np.sqrt(2 * np.pi)!r} AS phi, 1 / (1 + {_P[0]} * abs(z)) AS t FROM z),
+q AS (SELECT *, phi * t * ({_P[1]} + t * ({_P[2]} + t * ({_P[3]} + t * ({_P[4]} + t * {_P[5]})))) AS tail FROM d),
+ei AS (SELECT s_suppkey, s_nationkey, mu, sigma, round(gain * CASE WHEN z >= 0 THEN 1 - tail ELSE tail END + sigma * phi, {DIGITS}) AS ei FROM q)""".replace("np.float64(", "(")
+
+
+def _ei(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", F.col("s_acctbal").alias("mu"), F.greatest((F.col("s_suppkey") % 97) * 10.0, F.lit(1e-9)).alias("sigma"))
+    return df.withColumn("ei", F.round(learning.expected_improvement(F.col("mu"), F.col("sigma"), 9000.0), DIGITS))
+
+
+@query(f"WITH {_EI} SELECT s_suppkey, ei FROM ei")
+def expected_improvement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ei(spark, sf_dir).select("s_suppkey", "ei")
+
+
+@query(f"WITH {_EI} SELECT s_suppkey, ei FROM ei ORDER BY ei DESC, s_suppkey DESC LIMIT 20")
+def ei_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learning.top_k(_ei(spark, sf_dir), "ei", "s_suppkey", 20).select("s_suppkey", "ei")
+
+
+_RANK = "avg(mu) AS avg_mean, avg(ei) AS avg_ei, avg(sigma) AS avg_sigma, count(*) AS samples"
+_ROUNDED = f"round(avg_mean, 4) AS avg_mean, round(avg_ei, 4) AS avg_ei, round(avg_sigma, 4) AS avg_sigma, samples"
+
+
+@query(f"WITH {_EI} SELECT s_nationkey, {_ROUNDED} FROM (SELECT s_nationkey, {_RANK} FROM ei GROUP BY s_nationkey)")
+def composition_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = learning.ranking(_ei(spark, sf_dir), "s_nationkey", "avg_ei")
+    return out.withColumns({c: F.round(c, 4) for c in ("avg_mean", "avg_ei", "avg_sigma")})
+
+
+_DOPANT = f"""{_PARTS},
+el AS (SELECT *, list_filter(list_distinct(regexp_extract_all(formula, '[A-Z][a-z]?')), lambda x: x NOT IN ('Bi', 'Te')) AS rest FROM parts),
+dop AS (SELECT *, CASE WHEN len(rest) = 1 THEN rest[1] END AS dopant FROM el)"""
+
+
+@query(f"WITH {_DOPANT} SELECT p_partkey, dopant FROM dop")
+def single_dopant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parts(spark, sf_dir).select("p_partkey", features.single_dopant(F.col("formula"), ["Bi", "Te"]).alias("dopant"))
+
+
+@query(f"WITH {_DOPANT} SELECT dopant, round(avg(p_retailprice), 4) AS avg_mean, round(avg(p_size), 4) AS avg_ei, round(avg(kelvin), 4) AS avg_sigma, count(*) AS samples FROM dop WHERE dopant IS NOT NULL GROUP BY dopant")
+def dopant_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _parts(spark, sf_dir).withColumn("dopant", features.single_dopant(F.col("formula"), ["Bi", "Te"]))
+    out = learning.ranking(df, "dopant", "avg_mean", "p_retailprice", "p_size", "kelvin")
+    return out.withColumns({c: F.round(c, 4) for c in ("avg_mean", "avg_ei", "avg_sigma")})
+
+
+@query(f"WITH m AS (SELECT avg(l_extendedprice) AS y FROM lineitem) SELECT round(1 - sum((l_extendedprice - 1500 * l_quantity) ^ 2) / sum((l_extendedprice - y) ^ 2), {DIGITS}) AS r2 FROM lineitem, m")
+def r2_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_quantity")
+    y = F.col("l_extendedprice")
+    mean = df.agg(F.avg(y).alias("y"))
+    both = df.join(F.broadcast(mean))
+    return both.agg(F.round(1 - F.sum((y - 1500 * F.col("l_quantity")) ** 2) / F.sum((y - F.col("y")) ** 2), DIGITS).alias("r2"))
+
+
+_WEEK = "date_trunc('week', ts)"
+
+
+@query(f"WITH w AS (SELECT event_type, {_WEEK}::DATE AS week, round(avg(value), {DIGITS}) AS r2 FROM events GROUP BY ALL) SELECT event_type, week, round(max(r2) OVER o - min(r2) OVER o, {DIGITS}) AS spread, count(*) OVER o = 2 AND max(r2) OVER o - min(r2) OVER o < 5 AS settled FROM w WINDOW o AS (PARTITION BY event_type ORDER BY week ROWS 1 PRECEDING)")
+def convergence_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weeks = table(spark, sf_dir, "events").groupBy("event_type", F.expr(_WEEK).cast("date").alias("week")).agg(F.round(F.avg("value"), DIGITS).alias("r2"))
+    o = W.partitionBy("event_type").orderBy("week").rowsBetween(-1, 0)
+    spread = F.max("r2").over(o) - F.min("r2").over(o)
+    return weeks.select("event_type", "week", F.round(spread, DIGITS).alias("spread"), ((F.count("*").over(o) == 2) & (spread < 5)).alias("settled"))
+
+
+@query("SELECT event_type AS status, count(*) AS n FROM events GROUP BY event_type")
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("n"))
+
+
+_CANDIDATE = "SELECT cast(l_orderkey % 50 as varchar(20)) AS source_id, concat('Bi', cast(l_suppkey % 7 as varchar(9)), ' Te3') AS Crystal_structure, cast(250 + l_linenumber as varchar(9)) AS temperature, cast(l_partkey % 11 as varchar(9)) AS N_type_carrier, cast(l_linenumber as varchar(9)) AS page, cast(l_quantity / 100 as double) AS confidence, l_orderkey * 10 + l_linenumber AS seq, concat('c', cast(l_orderkey as varchar(20)), '-', cast(l_linenumber as varchar(9))) AS candidate_id FROM lineitem"
+
+
+@query(f"WITH c AS ({_CANDIDATE}) SELECT candidate_id, seq, confidence FROM (SELECT *, row_number() OVER (PARTITION BY source_id, replace(Crystal_structure, ' ', ''), temperature, N_type_carrier, page ORDER BY confidence DESC, seq, candidate_id) AS k FROM c) WHERE k = 1")
+def dedup_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
+    df = spark.sql(_CANDIDATE)
+    return D.best_candidates(df).select("candidate_id", "seq", "confidence")
+
+
+def _appended(spark: SparkSession, sf_dir: str, key) -> DataFrame:  # noqa: ANN001
+    orders = table(spark, sf_dir, "orders")
+    form = F.concat(F.lit("Bi"), (F.col("o_custkey") % 500).cast("string"), F.lit("Te3"))
+    one, zero = F.lit("1"), F.lit("0")
+    base = orders.filter("o_orderkey % 3 = 0").select(form.alias("Crystal_structure"), F.lit("300").alias("temperature"), (F.col("o_custkey") % 13).cast("string").alias("N_type_carrier"), one.alias("Crystal_form"), zero.alias("Direction"))
+    new = orders.filter("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("seq"), form.alias("Crystal_structure"), F.when(F.col("o_orderkey") % 2 == 0, "300.0").otherwise("300").alias("temperature"), (F.col("o_custkey") % 13).cast("string").alias("N_type_carrier"), one.alias("Crystal_form"), zero.alias("Direction"))
+    return D.accepted(base, new, key, ["seq"]).select("seq", "added")
+
+
+def _append_sql(text: bool) -> str:
+    key = "o_custkey % 500, o_custkey % 13" + (", o_orderkey % 2" if text else "")
+    same = "b.a = n.a AND b.c = n.c" + (" AND n.t = 1" if text else "")
+    return f"""WITH b AS (SELECT DISTINCT o_custkey % 500 AS a, o_custkey % 13 AS c FROM orders WHERE o_orderkey % 3 = 0),
+n AS (SELECT o_orderkey AS seq, o_custkey % 500 AS a, o_custkey % 13 AS c, o_orderkey % 2 AS t, row_number() OVER (PARTITION BY {key} ORDER BY o_orderkey) AS k FROM orders WHERE o_orderkey % 3 <> 0)
+SELECT seq, k = 1 AND NOT EXISTS (SELECT 1 FROM b WHERE {same}) AS added FROM n"""
+
+
+@query(_append_sql(False))
+def append_new_numeric_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _appended(spark, sf_dir, D.numeric_key())
+
+
+@query(_append_sql(True))
+def append_new_string_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _appended(spark, sf_dir, D.string_key())
+
+
+_REVIEW = "SELECT cast(o_orderkey as varchar(20)) AS candidate_id, 'Bi2Te3' AS Crystal_structure, '300' AS temperature, cast(o_custkey + {shift} as varchar(20)) AS N_type_carrier, '' AS Crystal_form, '' AS Direction, CASE WHEN {fresh} THEN 'needs_review' WHEN o_orderstatus = 'F' THEN 'approved' WHEN o_orderstatus = 'O' THEN 'needs_review' ELSE 'rejected' END AS review_status, CASE WHEN {fresh} OR o_orderkey % 5 > 0 THEN '' ELSE 'checked' END AS reviewer_notes, CASE WHEN o_orderkey % 11 = 0 THEN 'manual' ELSE 'table' END AS evidence_type FROM orders WHERE o_orderkey % 4 <> {out}"
+_OLD, _NEW = _REVIEW.format(shift=0, fresh="false", out=0), _REVIEW.format(shift=1000000, fresh="true", out=1)
+
+
+@query(f"""WITH o AS ({_OLD}), n AS ({_NEW}),
+j AS (SELECT o, n, coalesce(o.review_status IN ('approved', 'rejected') OR o.reviewer_notes <> '', false) AS own FROM n FULL JOIN o ON n.candidate_id = o.candidate_id)
+SELECT CASE WHEN n.candidate_id IS NULL THEN o.candidate_id ELSE n.candidate_id END AS candidate_id,
+  CASE WHEN n.candidate_id IS NULL OR own THEN o.N_type_carrier ELSE n.N_type_carrier END AS N_type_carrier,
+  CASE WHEN n.candidate_id IS NULL OR own THEN o.review_status ELSE n.review_status END AS review_status,
+  CASE WHEN n.candidate_id IS NULL OR own THEN o.reviewer_notes ELSE n.reviewer_notes END AS reviewer_notes,
+  CAST(n.candidate_id IS NULL AS INT) AS carried
+FROM j WHERE n.candidate_id IS NOT NULL OR o.review_status IN ('approved', 'rejected') OR o.evidence_type = 'manual'""")
+def review_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    return D.refreshed(spark.sql(_OLD), spark.sql(_NEW)).select("candidate_id", "N_type_carrier", "review_status", "reviewer_notes", "carried")
+
+
+@query("""SELECT p_partkey, concat_ws('; ',
+  CASE WHEN p_partkey % 9 = 0 THEN 'chemical formula missing' WHEN p_partkey % 9 = 1 THEN 'formula does not contain required elements [''Bi'', ''Te'']' END,
+  CASE WHEN p_partkey % 9 = 2 THEN 'formula contains a symbolic stoichiometry variable' END,
+  CASE WHEN p_size % 10 = 0 THEN 'temperature missing' WHEN p_size > 40 THEN 'temperature outside configured range' END,
+  CASE WHEN p_size = 1 THEN 'mobility outside configured range' END,
+  CASE WHEN p_partkey % 4 = 3 THEN 'Crystal_form missing' WHEN p_partkey % 4 = 2 THEN 'Crystal_form has invalid code ''2''' END,
+  'Direction missing') AS notes FROM part""")
+def validate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    df = table(spark, sf_dir, "part").select(
+        "p_partkey",
+        F.when(c("p_partkey") % 9 == 0, "").when(c("p_partkey") % 9 == 1, "GaAs").when(c("p_partkey") % 9 == 2, "Bi2Te3-xSex").otherwise("Bi2Te3").alias("Crystal_structure"),
+        F.when(c("p_size") % 10 == 0, "").otherwise((c("p_size") * 50).cast("string")).alias("temperature"),
+        (c("p_size") - 1).cast("string").alias("N_type_carrier"),
+        F.when(c("p_partkey") % 4 == 3, "").otherwise((c("p_partkey") % 4).cast("string")).alias("Crystal_form"),
+        F.lit(None).cast("string").alias("Direction"),
+    )
+    rules = {"required_elements": ["Bi", "Te"], "Crystal_form": [0, 1], "Direction": [0, 1, 2]}
+    return df.select("p_partkey", F.array_join(D.validation_notes(rules), "; ").alias("notes"))
+
+
+@query("SELECT doc_id, substr(sha256(concat_ws('|', coalesce(source, ''), cast(doc_id AS VARCHAR), '', coalesce(lang, ''), text)), 1, 16) AS candidate_id FROM documents")
+def candidate_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    return table(spark, sf_dir, "documents").select("doc_id", X.candidate_id(c("source"), c("doc_id"), F.lit(None), c("lang"), c("text")).alias("candidate_id"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat('s', doc_id) WHEN doc_id % 3 = 1 THEN concat('paper-', substr(sha1(concat('10.1000/', doc_id)), 1, 12)) ELSE concat('paper-', substr(sha1(text), 1, 12)) END AS stable_id FROM documents")
+def stable_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", X.stable_id(F.when(k % 3 == 0, F.concat(F.lit("s"), k)).otherwise(F.lit("")), F.when(k % 3 == 1, F.concat(F.lit("10.1000/"), k)).otherwise(F.lit("")), F.col("text")).alias("stable_id")
+    )
+
+
+@query("SELECT page_id, lower(regexp_replace(concat('10.1000/', regexp_replace(url, '^https?://', ''), CASE WHEN page_id % 2 = 0 THEN '.)' ELSE '' END), '[.,;)]+$', '')) AS doi FROM pages")
+def normalize_doi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id")
+    raw = F.concat(F.when(k % 3 == 0, "https://doi.org/").when(k % 3 == 1, " http://dx.doi.org/").otherwise("DOI: "), F.lit("10.1000/"), F.regexp_replace("url", "^https?://", ""), F.when(k % 2 == 0, ".)").otherwise(""))
+    return table(spark, sf_dir, "pages").select("page_id", X.normalize_doi(raw).alias("doi"))
+
+
+@query("SELECT page_id, coalesce(nullif(substr(regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), 1, 120), ''), 'source') AS name FROM pages")
+def safe_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", X.safe_filename(F.col("url")).alias("name"))
+
+
+@query("SELECT doc_id, sha256(replace(replace(replace(replace(translate(coalesce(text, ''), '₀₁₂₃₄₅₆₇₈₉⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻−–—', '01234567890123456789+----'), 'µ', 'mu'), 'μ', 'mu'), '𝜇', 'mu'), '·', ' ')) AS digest FROM documents")
+def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(X.normalize_text(F.col("text")), 256).alias("digest"))
+
+
+@query("SELECT doc_id, CAST(nullif(regexp_extract(replace(text, ',', ''), '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)'), '') AS DOUBLE) AS number FROM documents WHERE NOT regexp_matches(text, '[0-9]\\s*[xe×]|[0-9][eE][+-]?[0-9]')")
+def parse_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "documents").filter(~F.col("text").rlike(r"[0-9]\s*[xe×]|[0-9][eE][+-]?[0-9]"))
+    return df.select("doc_id", X.parse_number(F.col("text")).alias("number"))
+
+
+_UNITS = ("Hall mobility (cm2 V-1 s-1)", "Mobility (10^-4 m2 V-1 s-1)", "mobility (10³ cm² V⁻¹ s⁻¹)", "Seebeck (10 uV/K)", "mobility m^2/Vs")
+
+
+@query("SELECT p_partkey, CAST(CASE p_partkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 1000 WHEN 3 THEN 1 ELSE 10000 END AS DOUBLE) AS scale, CASE p_partkey % 5 WHEN 0 THEN 'cm2 V-1 s-1' WHEN 1 THEN 'm2 V-1 s-1' WHEN 2 THEN 'cm2 V-1 s-1' WHEN 3 THEN '' ELSE 'm2 V-1 s-1' END AS unit FROM part")
+def unit_multiplier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    header = F.element_at(F.array(*[F.lit(u) for u in _UNITS]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    m = X.mobility_multiplier(header)
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(m["scale"], 9).alias("scale"), m["unit"].alias("unit"))
+
+
+@query("SELECT p_partkey, CAST(CASE p_partkey % 4 WHEN 0 THEN p_size WHEN 1 THEN p_size + 273.15 WHEN 2 THEN 300 END AS DOUBLE) AS kelvin FROM part")
+def parse_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, n = F.col("p_partkey") % 4, F.col("p_size").cast("string")
+    value = F.when(k == 0, F.concat(n, F.lit(" K"))).when(k == 1, F.concat(n, F.lit(" °C"))).when(k == 2, "Room  temperature").otherwise("n/a")
+    return table(spark, sf_dir, "part").select("p_partkey", X.parse_temperature(value)["kelvin"].alias("kelvin"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '1' WHEN 1 THEN '0' ELSE '' END AS code FROM part")
+def infer_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 3
+    context = F.when(k == 0, "a Single  Crystal was grown").when(k == 1, "polycrystalline ingots").otherwise("single crystal and polycrystalline")
+    return table(spark, sf_dir, "part").select("p_partkey", X.infer_code(context, {"enabled": True, "default": "", "values": {"polycrystalline": 0, "single crystal": 1}})["code"].alias("code"))
+
+
+_ALIASES = {"kind": ["brass", "steel"], "finish": ["plated", "anodized steel", "large"], "other": ["e"]}
+_ALIAS_ROWS = ", ".join(f"('{f}', '{a}', {i})" for i, (f, a) in enumerate((f, a) for f, words in _ALIASES.items() for a in words))
+
+
+@query(f"WITH a(field, alias, pos) AS (VALUES {_ALIAS_ROWS}) SELECT p_partkey, (SELECT field FROM a WHERE contains(lower(p_type), alias) ORDER BY length(alias) DESC, pos LIMIT 1) AS field FROM part")
+def header_alias_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aliases = [(f, a) for f, words in _ALIASES.items() for a in words]
+    head = X.normalized_header(F.col("p_type"))
+    hits = F.array_compact(F.array(*[F.when(F.contains(head, F.lit(a)), F.struct(F.lit(len(a)).alias("n"), F.lit(-i).alias("p"), F.lit(f).alias("f"))) for i, (f, a) in enumerate(aliases)]))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_max(hits)["f"].alias("field"))
+
+
+@query("WITH w AS (SELECT conv_id, turn, string_split(text, ' ')[1:2] AS a, string_split(role, 'e') AS b FROM conversations), z AS (SELECT conv_id, turn, unnest(range(0, len(a))) AS place, a, b FROM w WHERE len(a) = len(b)) SELECT conv_id, turn, CAST(place AS INT) AS place, a[place + 1] AS word, b[place + 1] AS part FROM z")
+def parallel_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.slice(F.split("text", " "), 1, 2).alias("a"), F.split("role", "e").alias("b"))
+    return df.filter(F.size("a") == F.size("b")).select("conv_id", "turn", F.posexplode(F.arrays_zip("a", "b")).alias("place", "z")).select("conv_id", "turn", "place", F.col("z.a").alias("word"), F.col("z.b").alias("part"))
+
+
+@query("SELECT doc_id, CAST(len(regexp_extract_all(lower(text), 'the|una')) AS BIGINT) AS mentions FROM documents")
+def keyword_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_count(F.lower("text"), F.lit("the|una")).cast("long").alias("mentions"))
+
+
+@query()
+def keyword_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_id"), F.lit("1").alias("page"), "text")
+    return extract.text_candidates(pages, {})
+
+
+@query("SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title FROM pages")
+def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", X.html_title(F.col("html")).alias("title"))
+
+
+@query()
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.parsed_html(table(spark, sf_dir, "pages"), "page_id", "html").select("page_id", "text")
+
+
+@query()
+def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.parsed_html(table(spark, sf_dir, "pages"), "page_id", "html").select("page_id", F.size("tables").alias("n_tables"))
+
+
+@query("SELECT page_id, CASE WHEN NOT regexp_matches(lower(url), '^https?://') THEN 'unsupported scheme' END AS problem FROM pages")
+def safe_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", X.url_problem(F.col("url")).alias("problem"))
+
+
+@query("SELECT doc_id, regexp_matches(lower(text), 'mobility') OR contains(lower(text), 'carrier concentration') AS relevant FROM documents")
+def judge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", D.judged(F.col("text"), F.lit(0))["relevant"].alias("relevant"))
+
+
+@query()
+def seeded_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = [r["vec_id"] for r in table(spark, sf_dir, "embeddings").select("vec_id").orderBy("vec_id").collect()]
+    return spark.createDataFrame(list(zip(ids, learning.split_roles(len(ids)), strict=True)), "vec_id long, role string")
+
+
+def _vectors(spark: SparkSession, sf_dir: str, n: int = 12) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", *[F.get("embedding", F.lit(k)).cast("double").alias(f"x{k}") for k in range(n)], F.col("label").cast("double").alias("y"))
+
+
+@query()
+def gp_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = [f"x{k}" for k in range(6)]
+    df = _vectors(spark, sf_dir)
+    train = df.filter("vec_id < 100").orderBy("vec_id").toPandas()
+    x, y = train[columns].to_numpy(), train["y"].to_numpy()
+    mean, width = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1)
+    process = learning.Process.fit((x - mean) / width, y, restarts=2)
+    return learning.predicted(df.select("vec_id", *columns), process, columns, mean, width).select("vec_id", "mu", "sigma")
+
+
+@query()
+def active_learning_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = learning.Config(initial=40, test=40, acquired=60, features=4, restarts=1)
+    return learning.learned(_vectors(spark, sf_dir, 8).filter("vec_id < 250"), "vec_id", [f"x{k}" for k in range(8)], "y", config, trees=5)
