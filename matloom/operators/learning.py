@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The polynomial of the normal distribution function (error under 7.5e-8).
@@ -95,30 +95,43 @@ class Process:
         return float(y @ alpha / 2 + np.log(np.diag(chol)).sum() + n * math.log(2 * math.pi) / 2), grad
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, restarts: int = 20, seed: int = 2, steps: int = 60) -> Process:
-        """The best of several starts of a projected gradient descent with adaptive steps."""
+    def _descended(cls, k: int, x: np.ndarray, t: np.ndarray, seed: int, steps: int) -> tuple[float, np.ndarray]:
+        """The loss and parameters that start k reaches by projected gradient descent with adaptive steps."""
+        low, high = np.log([1e-3, 1e-5, *[1e-2] * x.shape[1]]), np.log([1e3, 1e1, *[1e2] * x.shape[1]])
+        theta = np.random.RandomState(seed + 1000 * k).uniform(low, high) if k else np.array([0.0, math.log(0.1), *[0.0] * x.shape[1]])
+        loss, grad = cls._loss(theta, x, t)
+        rate = 0.1
+        for _ in range(steps):
+            new = np.clip(theta - rate * grad / max(1.0, np.abs(grad).max()), low, high)
+            other, g = cls._loss(new, x, t)
+            if other < loss:
+                gain, theta, loss, grad, rate = loss - other, new, other, g, rate * 1.5
+                if gain < 1e-6:
+                    break
+            else:
+                rate /= 3
+                if rate < 1e-5:
+                    break
+        return loss, theta
+
+    @classmethod
+    def fit(cls, x: np.ndarray, y: np.ndarray, restarts: int = 20, seed: int = 2, steps: int = 60, spark: SparkSession | None = None) -> Process:
+        """The best of several starts, each a task of its own where a session is given."""
         mean, scale = float(y.mean()), float(y.std()) or 1.0
         t = (y - mean) / scale
-        low, high = np.log([1e-3, 1e-5, *[1e-2] * x.shape[1]]), np.log([1e3, 1e1, *[1e2] * x.shape[1]])
-        random = np.random.RandomState(seed)
-        best, chosen = np.inf, None
-        for k in range(restarts + 1):
-            theta = np.concatenate([[0.0, np.log(0.1)], np.zeros(x.shape[1])]) if k == 0 else random.uniform(low, high)
-            loss, grad = cls._loss(theta, x, t)
-            rate = 0.1
-            for _ in range(steps):
-                new = np.clip(theta - rate * grad / max(1.0, np.abs(grad).max()), low, high)
-                other, g = cls._loss(new, x, t)
-                if other < loss:
-                    gain, theta, loss, grad, rate = loss - other, new, other, g, rate * 1.5
-                    if gain < 1e-6:
-                        break
-                else:
-                    rate /= 3
-                    if rate < 1e-5:
-                        break
-            if loss < best:
-                best, chosen = loss, theta
+        if spark is None:
+            found = [cls._descended(k, x, t, seed, steps) for k in range(restarts + 1)]
+        else:
+
+            def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for f in frames:
+                    for k in f["id"]:
+                        loss, theta = cls._descended(int(k), x, t, seed, steps)
+                        yield pd.DataFrame({"loss": [loss], "theta": [theta.tolist()]})
+
+            rows = spark.range(0, restarts + 1, 1, restarts + 1).mapInPandas(run, "loss double, theta array<double>").collect()
+            found = [(r["loss"], np.array(r["theta"])) for r in rows]
+        chosen = min(found, key=lambda r: r[0])[1]
         k = cls.kernel(x, x, chosen) + (np.exp(chosen[1]) + 1e-10) * np.eye(len(x))
         chol = np.linalg.cholesky(k)
         return cls(x, np.linalg.solve(chol.T, np.linalg.solve(chol, t)), chol, chosen, mean, scale)
@@ -181,7 +194,7 @@ def learned(df: DataFrame, row_id: str, columns: list[str], target: str, config:
         x = data[chosen].to_numpy(float)
         mean, width = x[role == "train"].mean(0), x[role == "train"].std(0)
         x = (x - mean) / np.where(width > 0, width, 1)
-        process = Process.fit(x[role == "train"], y[role == "train"], config.restarts, config.seed)
+        process = Process.fit(x[role == "train"], y[role == "train"], config.restarts, config.seed, spark=spark)
         score = r2(y[role == "test"], process.predict(x[role == "test"])[0])
         pool = np.flatnonzero(role == "pool")
         history.append((len(history) + 1, int((role == "train").sum()), len(pool), score))

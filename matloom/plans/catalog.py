@@ -443,7 +443,7 @@ def gp_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = df.filter("vec_id < 100").orderBy("vec_id").toPandas()
     x, y = train[columns].to_numpy(), train["y"].to_numpy()
     mean, width = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1)
-    process = learning.Process.fit((x - mean) / width, y, restarts=2)
+    process = learning.Process.fit((x - mean) / width, y, restarts=2, spark=spark)
     return learning.predicted(df.select("vec_id", *columns), process, columns, mean, width).select("vec_id", "mu", "sigma")
 
 
