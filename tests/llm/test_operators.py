@@ -1,0 +1,209 @@
+"""Brute-force comparisons and edge cases of the training-data operators."""
+
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from matloom.llm import bpe, decontam, fingerprints, langid, neardup, pii, quality, substrings, toxicity, urlfilter
+from matloom.llm import vectext as V
+
+EDGES = [(1, None), (2, ""), (3, "one two"), (3, "one two"), (None, "one two"), (4, " \n\t "), (5, "é " * 30), (6, "x" * 5000)]
+SCHEMA = "doc_id long, text string"
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    return spark.createDataFrame([(*r, 7, "keep") for r in EDGES], SCHEMA + ", score int, component_id string")
+
+
+def words(rng, n):
+    return " ".join(rng.choice(["the", "of", "and", "ation", "ing", "er", "thing", "ou"]) + str(rng.randrange(60)) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    """Originals, exact and near copies, and a passage of 60 words that several documents share."""
+    rng, rows = random.Random(5), []
+    shared = words(rng, 60)
+    for i in range(60):
+        text = words(rng, rng.randrange(3, 120))
+        if i % 9 == 0:
+            text = f"{text} {shared} {words(rng, 10)}"
+        rows.append(text)
+        if i % 4 == 0:
+            w = text.split()
+            for _ in range(rng.randrange(1, 4)):
+                w[rng.randrange(len(w))] = "edit" + str(rng.randrange(99))
+            rows += [text, " ".join(w)]
+    return rows, spark.createDataFrame(list(enumerate(rows)), SCHEMA)
+
+
+def shingles(text, k):
+    w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def test_near_duplicates(corpus, edges):
+    rows, df = corpus
+    sets, root = [shingles(t, 4) for t in rows], list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.linked(df, 4, 80).collect()}
+    assert found == {i: (len(s), find(i), find(i) == i) for i, s in enumerate(sets)}
+    told = [tuple(r) for r in neardup.linked(edges, 4, 80).collect()]
+    assert len(told) == len(EDGES) and (3, 1, 3, True) in told and (None, 1, None, True) in told and (1, 0, 1, True) in told
+    assert neardup.linked(edges.limit(0), 4, 80).count() == 0
+
+
+def test_prefix_filter(spark):
+    """A group too alike for the regions' stars alone: all links within it are found."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for p in rng.sample(range(100), 4):
+            w[p] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    sets = [shingles(t, 4) for _, t in rows]
+    links = sum(100 * len(a & b) >= 80 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    root = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    found = {r["doc_id"]: r["component_id"] for r in neardup.linked(spark.createDataFrame(rows, SCHEMA), 4, 80).collect()}
+    assert links >= 0 and found == dict(enumerate(root))
+
+
+def test_fingerprints(corpus, edges):
+    rows, df = corpus
+    found = {r["doc_id"]: r for r in fingerprints.compared(df).collect()}
+    for i, t in enumerate(rows):
+        a, b = fingerprints.digests([t, rows[(i + 1) % len(rows)]])
+        shared = len(np.intersect1d(a, b))
+        assert found[i]["near_next"] == pytest.approx(2 * shared / (len(a) + len(b)))
+    assert len({r["fingerprint"] for r in found.values()}) == len(set(rows))
+    assert fingerprints.compared(edges).count() == len(EDGES) and fingerprints.compared(edges.limit(0)).count() == 0
+
+
+def test_url_rules(spark):
+    urls = ["http://a.com/en/1", "http://example.com/en/77", "https://X.EXAMPLE.NET/de/8?x", "ftp://net/de/", "org/es/", None, "http://x.org/a.com/en/", "http://scom/en/", "http://com/en/"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = urlfilter.rules_from("block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/")
+    found = [(r["rule"], r["verdict"]) for r in urlfilter.judge(df, rules).orderBy("page_id").collect()]
+    assert found == [("com/en/", "block"), ("example.com/en/7", "allow"), ("example.net/de/8", "block"), ("net/de/", "allow"), (None, "allow"), (None, "allow"), (None, "allow"), (None, "allow"), ("com/en/", "block")]
+
+
+def test_wildcards():
+    a = urlfilter.Automaton(["a*c", "a**c", "?b/**", "x" * 130], [0, 1, 2, 3])
+    data, offsets = V.spelled(pa.array(["abc", "a/c", "ab/q", "x" * 130, "", "ac"]))
+    assert a.matches(data, offsets).tolist() == [[True, True, False, False], [False, True, False, False], [False, False, True, False], [False, False, False, True], [False] * 4, [True, True, False, False]]
+
+
+def test_passages(corpus, edges):
+    rows, df = corpus
+    rows_found = substrings.passages(df).collect()
+    assert {i for i, t in enumerate(rows) if sum(t[:200] == u[:200] for u in rows) < 1} == set()
+    named = {r["doc_id"] for r in rows_found} | {r["other_doc_id"] for r in rows_found}
+    shared = max((t for t in rows), key=len)
+    assert all(r["n_words"] >= 50 and r["identity"] >= 0.8 for r in rows_found) and len(named) >= 7 and shared
+    assert substrings.passages(edges.limit(0)).count() == 0
+
+
+def test_chains():
+    rng = np.random.RandomState(1)
+    at, other = rng.randint(0, 40, 30), rng.randint(0, 40, 30)
+    best = max(len(c) * substrings.GAIN for c in substrings.chains(at, other, gap=0.0))
+    order, score = np.lexsort((other, at)), np.zeros(30)
+    for i in order:
+        score[i] = substrings.GAIN + max([score[j] for j in range(30) if at[j] < at[i] and other[j] < other[i]], default=0)
+    assert best == score.max()
+
+
+def test_language(spark, edges):
+    docs = [("the and of thing", "en"), ("der und die das nicht", "de"), ("le de la une que", "fr")] * 20
+    model = langid.train(spark.createDataFrame(docs, "text string, lang string"))
+    found = langid.predict(spark.createDataFrame([(1, "the thing and"), (2, "die und nicht"), (3, None), (4, "123 !")], SCHEMA), model)
+    assert [r["lang_pred"] for r in found.orderBy("doc_id").collect()] == ["en", "de", "und", "und"]
+    # Frozen statistics give a distribution: after any context, what all bytes cost sums to a probability of one at most.
+    scorer = langid.Scorer(model)
+    text = [f"the t{chr(c)}" for c in (*range(97, 123), 32)]
+    bits = scorer.lengths(*V.spelled(pa.array(text)))[:, 0] - scorer.lengths(*V.spelled(pa.array(["the t"])))[0, 0]
+    assert np.exp2(-bits).sum() <= 1.0 + 1e-6
+
+
+def test_bpe(spark, edges):
+    import public_tokenizers as P
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(["a", "don't ", "  ", "\n", "é", "12", "--", "日本", " x"]) for _ in range(n)) for n in (0, 5, 300, 2000)] + ["z" * 900, " " * 700, None]
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    file = P.path("byte_bpe_multi_50k.tiktoken")
+    found = bpe.encoded(df, file, P.PATTERN, chunk=100, overlap=20, keep_ids=True).collect()
+    enc = bpe.encoding(file, P.PATTERN)
+    assert {r["doc_id"]: r["token_ids"] for r in found} == {i: enc.encode_ordinary(t or "") for i, t in enumerate(texts)}
+
+
+def test_decontamination(spark, edges):
+    item = "a b c d e f g h i j k l m n o"
+    bench = spark.createDataFrame([(1, item), (12, "Short one"), (3, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x, {item.upper()}! y"), (2, "a b c d e f g h i j k l z"), (3, "a SHORT-one"), (4, None)], SCHEMA)
+    found = [tuple(r)[:5] for r in decontam.marked(docs, bench).orderBy("doc_id").select("doc_id", "n_words", "n_hit", "n_items", "contaminated").collect()]
+    assert found == [(1, 17, 15, 1, True), (2, 13, 0, 0, False), (3, 3, 2, 1, True), (4, 0, 0, 0, False)]
+    several = decontam.marked(docs, bench, pattern_words=1).orderBy("doc_id").select("doc_id", "n_words", "n_hit", "n_items", "contaminated").collect()
+    assert [tuple(r) for r in several] == found
+
+
+def test_personal_data(spark):
+    docs = [(i, f"Write to mailbox: u{i}@ex.com now. {'word ' * 9}") for i in range(12)] + [(20, "Then mailbox: user77.local.box here"), (21, "the value user77.local.bin there"), (22, None), (23, "ip 1.2.3.4 or 1.2.3.999, a+b@c.de+x@y.z.uk, card 4111 1111 1111 1111, +1 (555) 010-9999")]
+    found = {r["doc_id"]: r["spans"] for r in pii.annotated(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert found[0].startswith("email:18:") and found[20] == "id:14:30" and found[21] == "" and found[22] == ""
+    assert [s.split(":")[0] for s in found[23].split(",")] == ["ip", "email", "email", "card", "phone"]
+    clean = {r["doc_id"]: r["text"] for r in pii.redacted(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert clean[23].startswith("ip [IP] or 1.2.3.999, [EMAIL][EMAIL], card [CARD], [PHONE]") and "[ID]" in clean[20] and clean[22] is None
+
+
+def test_quality(spark, edges):
+    rng = random.Random(4)
+    rows = [(i, words(rng, 60) if i % 3 else "BUY!! NOW!! $$$ ### " * 15, int(i % 3 > 0)) for i in range(240)]
+    df = spark.createDataFrame(rows, SCHEMA + ", y int")
+    model = quality.train(df, df.select("doc_id", "y"))
+    assert all((r["score"] >= 0.7) == bool(r["y"]) for r in quality.scored(df, model).collect())
+    assert quality.scored(edges, model).filter("score between 0 and 1").count() == len(EDGES)
+    x, y = quality.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]))
+    assert (np.diff(y) >= 0).all()
+
+
+def test_counterfactual_weights():
+    words_ = sorted({h for t in toxicity.IDENTITIES for h in toxicity._of_word(list(t))[0].tolist()})
+    vocabulary = toxicity.Vocabulary(np.array(words_, np.uint64))
+    texts = ["women are bad awful"] * 30 + ["men are fine"] * 30
+    x = vocabulary.present(*V.spelled(pa.array(texts)))
+    y = np.array([1.0] * 30 + [0.0] * 30)
+    change = lambda w: abs(np.diff(vocabulary.present(*V.spelled(pa.array(["women", "men"]))) @ w)[0])
+    free, _ = toxicity.fitted(x, y, np.zeros((0, x.shape[1]), np.float32))
+    fair, _ = toxicity.fitted(x, y, toxicity.swaps(x, vocabulary))
+    assert change(fair) < 0.3 * change(free)
+
+
+def test_toxicity(spark, edges):
+    rng = random.Random(6)
+    rows = [(i, words(rng, 40) + (" idiotic" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(200)]
+    df = spark.createDataFrame(rows, SCHEMA + ", y int")
+    model = toxicity.train(df, df.select("doc_id", "y"))
+    assert all((r["score"] >= 0.5) == bool(r["y"]) for r in toxicity.scored(df, model).collect())
+    assert toxicity.scored(edges, model).count() == len(EDGES)
