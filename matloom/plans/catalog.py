@@ -449,5 +449,5 @@ def gp_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def active_learning_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    config = learning.Config(initial=40, test=40, acquired=60, features=4, restarts=1)
-    return learning.learned(_vectors(spark, sf_dir, 8).filter("vec_id < 250"), "vec_id", [f"x{k}" for k in range(8)], "y", config, trees=5)
+    config = learning.Config(initial=40, test=40, acquired=100, features=4, restarts=1)
+    return learning.learned(_vectors(spark, sf_dir, 8).filter("vec_id < 250"), "vec_id", [f"x{k}" for k in range(8)], "y", config, trees=2)
