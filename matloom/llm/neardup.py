@@ -9,8 +9,8 @@ probability (1 - 0.8^4)^32 < 1e-7.
 Depth adapts by region. First, all nodes of a region are compared with its least node alone, which is
 linear in its size; what links is merged. Only regions that then still hold several
 components are searched deeper: their nodes are sorted by 128 further signature bits, in an order of
-each region's own, and neighbours by longest common prefix of different components are compared and
-merged. What is left after that is compared in full, but for pairs that prefix filtering on the nodes'
+each region's own, and each is compared with its neighbour by longest common prefix and with the region's centre, the node nearest to the majority of
+those bits. What is left after that is compared in full, but for pairs that prefix filtering on the nodes'
 shingles, signature bits or set sizes rule out. So a large group of near copies costs a few
 comparisons a node and tree, while no candidate link between components is skipped. Links are confirmed on full shingle sets.
 
@@ -22,6 +22,7 @@ with equal sets. A row without doc_id has a null component and is kept.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,8 @@ from .components import components
 TREES, DEPTH = 32, 4
 #: Of 128 one-bit MinHash values, a pair of similarity 0.8 agrees in 115 on average, standard deviation 3.4.
 AGREE = 88
-#: Rounds of neighbours by longest common prefix before what is left is compared in full.
-NEIGHBOUR_ROUNDS = 1
+#: A region's sorted order is cut into runs of about so many nodes, so that no task holds a large region.
+RUN = 4096
 
 _random = np.random.default_rng(20240229)
 _A = (_random.integers(0, 1 << 31, TREES * DEPTH, dtype=np.int64).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -171,12 +172,39 @@ def _undecided(shared: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFr
     return written(member.join(several, "region", "left_semi").join(nodes.select("node", "n", "bits0", "bits1"), "node"), "regions")
 
 
+def _centres(member: DataFrame) -> DataFrame:
+    """(region, size, centre): the node whose signature bits are nearest to the region's majority."""
+    ones = [F.sum(F.shiftrightunsigned(f"bits{w}", i).bitwiseAND(F.lit(1))).alias(f"o{w}_{i}") for w in (0, 1) for i in range(64)]
+    counted = member.groupBy("region").agg(F.count("*").alias("size"), *ones)
+    word = lambda w: reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft((2 * F.col(f"o{w}_{i}") > F.col("size")).cast("long"), i) for i in range(64)])
+    major = counted.select("region", "size", word(0).alias("m0"), word(1).alias("m1"))
+    apart = F.bit_count(F.col("bits0").bitwiseXOR(F.col("m0"))) + F.bit_count(F.col("bits1").bitwiseXOR(F.col("m1")))
+    # Ties fall differently in each region, so that the regions of one group have several centres.
+    ranked = member.join(major, "region").groupBy("region").agg(F.first("size").alias("size"), F.min(F.struct(apart.alias("d"), F.xxhash64("node", "region").alias("h"), *["node", "c", "n", "bits0", "bits1"])).alias("x"))
+    return ranked.select("region", "size", *[F.col(f"x.{c}").alias("u" + ("" if c == "node" else c)) for c in ("node", "c", "n", "bits0", "bits1")])
+
+
+def _deeper(member: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of different components: each node with its region's centre, and with its neighbour by longest common prefix of the further bits."""
+    centres = written(_centres(member), "centres")
+    v = [F.col(c).alias("v" + ("" if c == "node" else c)) for c in ("node", "c", "n", "bits0", "bits1")]
+    u = ["u", "uc", "un", "ubits0", "ubits1"]
+    star = member.select("region", *v).join(centres, "region").select(*u, *[c.replace("u", "v", 1) for c in u])
+    turned = F.expr("shiftrightunsigned(bits0, pmod(region, 64)) | shiftleft(bits0, pmod(64 - region, 64))")
+    run = F.pmod(F.xxhash64("node", "region"), F.ceil(F.col("size") / RUN))
+    order = W.partitionBy("region", "run").orderBy(turned, "node")
+    cut = member.join(centres.select("region", "size"), "region").withColumn("run", run)
+    beside = cut.withColumns({"u": F.lag("node").over(order), **{f"u{c}": F.lag(c).over(order) for c in ("c", "n", "bits0", "bits1")}}).select(*u, *v)
+    pairs = star.unionByName(beside).filter((F.col("uc") != F.col("vc")) & _close("u", "v", percent))
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
+
+
 def _prefixed(member: DataFrame, nodes: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
     """All pairs (u, v) of member (node, c) of different components that can be linked at all, by prefix filtering.
 
-    Two sets of a similarity of percent share percent of either. So, with shingles in order of how
-    many members have them, rarest first, both have a shared one among their first n - ceil(percent * n / 100) + 1.
-    Edits make shingles that no other member has: those stand first, and a member of too many is ruled out alone.
+    Sets of sizes n and m at a similarity of percent share a = ceil(percent * (n + m) / (100 + percent)) shingles. So, with
+    shingles in one order, both have a shared one among their first n - a + 1 and m - a + 1. Shingles of one
+    component alone, which edits make, stand first, then those that few members have: a member of too many edits is ruled out alone.
     """
     wanted = member.join(nodes.select("node", "doc", "n"), "node")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).join(wanted, "doc").select("node", "c", "n", "text")
@@ -193,13 +221,14 @@ def _prefixed(member: DataFrame, nodes: DataFrame, documents: DataFrame, k: int,
 
     sets = written(texts.mapInArrow(run, "node long, c long, n long, shingles array<long>").dropDuplicates(["node"]), "sets")
     tokens = sets.select("node", "c", "n", F.explode("shingles").alias("t"))
-    known = tokens.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1")
+    known = tokens.groupBy("t").agg(F.count("*").alias("df"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("t", "df")
     by_node = W.partitionBy("node")
     ranked = tokens.join(known, "t").withColumn("r", F.row_number().over(by_node.orderBy("df", "t"))).withColumn("known", F.count("*").over(by_node))
-    prefix = ranked.filter(F.col("n") - F.col("known") + F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    prefix = written(prefix.select("node", "c", "n", "t"), "prefix")
-    x, y = (prefix.select("t", *[F.col(c).alias(s + ("" if c == "node" else c)) for c in ("node", "c", "n")]) for s in "uv")
-    fit = (F.col("u") < F.col("v")) & (F.col("uc") != F.col("vc")) & (100 * F.least("un", "vn") >= percent * F.greatest("un", "vn"))
+    prefix = ranked.withColumn("at", F.col("n") - F.col("known") + F.col("r")).filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    prefix = written(prefix.join(nodes.select("node", "bits0", "bits1"), "node").select("node", "c", "n", "bits0", "bits1", "at", "t"), "prefix")
+    x, y = (prefix.select("t", *[F.col(c).alias(s + ("" if c == "node" else c)) for c in ("node", "c", "n", "bits0", "bits1", "at")]) for s in "uv")
+    least = F.ceil(percent * (F.col("un") + F.col("vn")) / (100 + percent))
+    fit = (F.col("u") < F.col("v")) & (F.col("uc") != F.col("vc")) & (F.col("uat") + least <= F.col("un") + 1) & (F.col("vat") + least <= F.col("vn") + 1) & _close("u", "v", percent)
     return x.join(y, "t").filter(fit).select("u", "v").distinct()
 
 
@@ -214,29 +243,21 @@ def linked(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     # A region's least node; regions of one node, which are nearly all, go.
     least = placed.groupBy("region").agg(F.min("node").alias("u"), F.count("*").alias("size")).filter("size > 1").select("region", "u")
     shared = written(placed.join(least, "region").select("region", "node", "u"), "shared")
-    first = _possible(shared.filter("node != u").select("u", F.col("node").alias("v")).distinct(), nodes, percent)
+    first = written(_possible(shared.filter("node != u").select("u", F.col("node").alias("v")).distinct(), nodes, percent), "stars")
     edges = written(_confirmed(first, nodes, documents, k, percent), "edges")
     groups = components(edges)
 
-    # Neighbours of several orders: in each region that holds several components still, by longest common prefix of the further bits.
+    # Regions that hold several components still are searched deeper.
     tried = first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    for turn in range(NEIGHBOUR_ROUNDS):
-        member = _undecided(shared, groups, nodes)
-        turned = F.expr(f"shiftrightunsigned(bits{turn % 2}, pmod(region, 64)) | shiftleft(bits{turn % 2}, pmod(64 - region, 64))")
-        order = W.partitionBy("region").orderBy(turned, "node")
-        beside = member.withColumns({"u": F.lag("node").over(order), **{f"u{c}": F.lag(c).over(order) for c in ("c", "n", "bits0", "bits1")}})
-        near = beside.select("u", "uc", "un", "ubits0", "ubits1", *[F.col(c).alias("v" + ("" if c == "node" else c)) for c in ("node", "c", "n", "bits0", "bits1")])
-        pairs = near.filter((F.col("uc") != F.col("vc")) & _close("u", "v", percent)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        pairs = written(pairs.join(tried, ["u", "v"], "left_anti"), "neighbours")
-        if not pairs.limit(1).count():
-            break
+    pairs = written(_deeper(_undecided(shared, groups, nodes), tried, percent), "neighbours")
+    if pairs.limit(1).count():
         tried = tried.unionByName(pairs)
         edges = written(edges.unionByName(_confirmed(pairs, nodes, documents, k, percent)), "edges")
         groups = components(edges)
 
     # What is left is compared in full.
     member = _undecided(shared, groups, nodes).select("node", "c").distinct()
-    pairs = written(_possible(_prefixed(member, nodes, documents, k, percent), nodes, percent).join(tried, ["u", "v"], "left_anti"), "pairs")
+    pairs = written(_prefixed(member, nodes, documents, k, percent).join(tried, ["u", "v"], "left_anti"), "pairs")
     if pairs.limit(1).count():
         groups = components(edges.unionByName(_confirmed(pairs, nodes, documents, k, percent)))
 
