@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 
 from ..session import written
 from . import vectext as V
-from .components import components
+from .components import components, extended
 
 TREES, DEPTH = 32, 4
 #: Of 128 one-bit MinHash values, a pair of similarity 0.8 agrees in 115 on average, standard deviation 3.4.
@@ -244,22 +244,20 @@ def linked(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     least = placed.groupBy("region").agg(F.min("node").alias("u"), F.count("*").alias("size")).filter("size > 1").select("region", "u")
     shared = written(placed.join(least, "region").select("region", "node", "u"), "shared")
     first = written(_possible(shared.filter("node != u").select("u", F.col("node").alias("v")).distinct(), nodes, percent), "stars")
-    edges = written(_confirmed(first, nodes, documents, k, percent), "edges")
-    groups = components(edges)
+    groups = components(_confirmed(first, nodes, documents, k, percent))
 
     # Regions that hold several components still are searched deeper.
     tried = first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     pairs = written(_deeper(_undecided(shared, groups, nodes), tried, percent), "neighbours")
     if pairs.limit(1).count():
         tried = tried.unionByName(pairs)
-        edges = written(edges.unionByName(_confirmed(pairs, nodes, documents, k, percent)), "edges")
-        groups = components(edges)
+        groups = extended(groups, _confirmed(pairs, nodes, documents, k, percent))
 
     # What is left is compared in full.
     member = _undecided(shared, groups, nodes).select("node", "c").distinct()
     pairs = written(_prefixed(member, nodes, documents, k, percent).join(tried, ["u", "v"], "left_anti"), "pairs")
     if pairs.limit(1).count():
-        groups = components(edges.unionByName(_confirmed(pairs, nodes, documents, k, percent)))
+        groups = extended(groups, _confirmed(pairs, nodes, documents, k, percent))
 
     named_groups = nodes.select("node", "doc").join(groups, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("c"))
     smallest = named_groups.groupBy("c").agg(F.min("doc").alias("component_id"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from matloom.llm import bpe, decontam, fingerprints, langid, neardup, pii, quality, substrings, toxicity, urlfilter
 from matloom.llm import vectext as V
+from matloom.llm.components import components, extended
 
 EDGES = [(1, None), (2, ""), (3, "one two"), (3, "one two"), (None, "one two"), (4, " \n\t "), (5, "é " * 30), (6, "x" * 5000)]
 SCHEMA = "doc_id long, text string"
@@ -207,3 +208,28 @@ def test_toxicity(spark, edges):
     model = toxicity.train(df, df.select("doc_id", "y"))
     assert all((r["score"] >= 0.5) == bool(r["y"]) for r in toxicity.scored(df, model).collect())
     assert toxicity.scored(edges, model).count() == len(EDGES)
+
+
+def test_components(spark):
+    def of(links):
+        root = {}
+
+        def find(x):
+            root.setdefault(x, x)
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in links:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+        return {x: find(x) for x in root}
+
+    rng = random.Random(8)
+    first = [(rng.randrange(-60, 0), rng.randrange(0, 60)) for _ in range(40)] + [(i, i + 1) for i in range(100, 120)]
+    later = [(rng.randrange(-60, 0), rng.randrange(0, 90)) for _ in range(25)] + [(120, 200), (201, 200)]
+    table_of = lambda links: spark.createDataFrame(links, "u long, v long")
+    groups = components(table_of(first + [(7, 7)]))
+    assert sorted(tuple(r) for r in groups.collect()) == sorted(of(first).items())
+    assert sorted(tuple(r) for r in extended(groups, table_of(later)).collect()) == sorted(of(first + later).items())
+    assert extended(components(table_of([])), table_of([])).count() == 0
