@@ -22,6 +22,8 @@ from ..session import table
 _FOUND: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 DIGITS = 6
+#: Labelled rows that a registered Gaussian process is fitted on, at most.
+GP_ROWS = 100
 
 
 def query(sql: str | None = None):  # noqa: ANN201
@@ -342,10 +344,16 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(X.normalize_text(F.col("text")), 256).alias("digest"))
 
 
-@query("SELECT doc_id, CAST(nullif(regexp_extract(replace(text, ',', ''), '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)'), '') AS DOUBLE) AS number FROM documents WHERE NOT regexp_matches(text, '[0-9]\\s*[xe×]|[0-9][eE][+-]?[0-9]')")
+_NORMAL = "replace(replace(replace(replace(translate(coalesce(text, ''), '₀₁₂₃₄₅₆₇₈₉⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻−–—', '01234567890123456789+----'), 'µ', 'mu'), 'μ', 'mu'), '𝜇', 'mu'), '·', ' ')"
+
+
+@query(
+    f"WITH t AS (SELECT doc_id, replace({_NORMAL}, ',', '') AS t FROM documents), "
+    f"p AS (SELECT doc_id, TRY_CAST(regexp_extract(t, '{X.NUMBER}', 1) AS DOUBLE) AS value, TRY_CAST(regexp_extract(t, '{X.NUMBER}', 2) AS DOUBLE) AS power FROM t) "
+    f"SELECT doc_id, CASE WHEN power IS NULL THEN value WHEN power <= 300 THEN value * pow(10.0, power) END AS number FROM p"
+)
 def parse_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "documents").filter(~F.col("text").rlike(r"[0-9]\s*[xe×]|[0-9][eE][+-]?[0-9]"))
-    return df.select("doc_id", X.parse_number(F.col("text")).alias("number"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.parse_number(F.col("text")).alias("number"))
 
 
 _UNITS = ("Hall mobility (cm2 V-1 s-1)", "Mobility (10^-4 m2 V-1 s-1)", "mobility (10³ cm² V⁻¹ s⁻¹)", "Seebeck (10 uV/K)", "mobility m^2/Vs")
@@ -384,9 +392,9 @@ def header_alias_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.array_max(hits)["f"].alias("field"))
 
 
-@query("WITH w AS (SELECT conv_id, turn, string_split(text, ' ')[1:2] AS a, string_split(role, 'e') AS b FROM conversations), z AS (SELECT conv_id, turn, unnest(range(0, len(a))) AS place, a, b FROM w WHERE len(a) = len(b)) SELECT conv_id, turn, CAST(place AS INT) AS place, a[place + 1] AS word, b[place + 1] AS part FROM z")
+@query("WITH w AS (SELECT conv_id, turn, string_split(text, ' ') AS a, string_split(replace(text, ',', ' ,'), ' ') AS b FROM conversations), z AS (SELECT conv_id, turn, unnest(range(0, len(a))) AS place, a, b FROM w WHERE len(a) = len(b)) SELECT conv_id, turn, CAST(place AS INT) AS place, a[place + 1] AS word, b[place + 1] AS part FROM z")
 def parallel_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.slice(F.split("text", " "), 1, 2).alias("a"), F.split("role", "e").alias("b"))
+    df = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.split("text", " ").alias("a"), F.split(F.replace("text", F.lit(","), F.lit(" ,")), " ").alias("b"))
     return df.filter(F.size("a") == F.size("b")).select("conv_id", "turn", F.posexplode(F.arrays_zip("a", "b")).alias("place", "z")).select("conv_id", "turn", "place", F.col("z.a").alias("word"), F.col("z.b").alias("part"))
 
 
@@ -440,7 +448,8 @@ def _vectors(spark: SparkSession, sf_dir: str, n: int = 12) -> DataFrame:
 def gp_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = [f"x{k}" for k in range(6)]
     df = _vectors(spark, sf_dir)
-    train = df.filter("vec_id < 100").orderBy("vec_id").toPandas()
+    # The fit takes a bounded sample of labelled rows, in the order of a hash; all rows are scored.
+    train = df.orderBy(F.xxhash64("vec_id"), "vec_id").limit(GP_ROWS).toPandas()
     x, y = train[columns].to_numpy(), train["y"].to_numpy()
     mean, width = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1)
     process = learning.Process.fit((x - mean) / width, y, restarts=2, spark=spark)
@@ -449,5 +458,5 @@ def gp_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def active_learning_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    config = learning.Config(initial=40, test=40, acquired=100, features=4, restarts=1)
-    return learning.learned(_vectors(spark, sf_dir, 8).filter("vec_id < 250"), "vec_id", [f"x{k}" for k in range(8)], "y", config, trees=2)
+    config = learning.Config(initial=40, test=40, acquired=200, features=4, restarts=1)
+    return learning.learned(_vectors(spark, sf_dir, 8),"vec_id", [f"x{k}" for k in range(8)], "y", config, trees=2)
