@@ -125,6 +125,23 @@ def test_passages(corpus, edges):
     assert substrings.passages(edges.limit(0)).count() == 0
 
 
+def apart(rng, n):
+    return [f"z{rng.randrange(10**9)}" for _ in range(n)]
+
+
+def test_passages_apart(spark):
+    """Two exact passages with other words between them: both are reported, each by itself."""
+    rng, rows, places = random.Random(11), [], []
+    for size, gap in [(60, 60)] * 8 + [(60, 100), (60, 150), (120, 100)] * 3:
+        p, q = apart(rng, size), apart(rng, size)
+        a, b = (" ".join(apart(rng, 7) + p + apart(rng, gap) + q + apart(rng, 9)) for _ in range(2))
+        places.append({(7, 7 + size), (7 + size + gap, 7 + 2 * size + gap)})
+        rows += [a, b]
+    found = substrings.passages(spark.createDataFrame(list(enumerate(rows)), SCHEMA)).collect()
+    for i, expected in enumerate(places):
+        assert {(r["from_word"], r["to_word"]) for r in found if r["doc_id"] // 2 == i} == expected
+
+
 def test_chains():
     rng = np.random.RandomState(1)
     at, other = rng.randint(0, 40, 30), rng.randint(0, 40, 30)
