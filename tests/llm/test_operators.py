@@ -142,6 +142,29 @@ def test_passages_apart(spark):
         assert {(r["from_word"], r["to_word"]) for r in found if r["doc_id"] // 2 == i} == expected
 
 
+def test_passages_of_parts(spark):
+    """Documents with a whole passage are connected though others hold parts of it; as are all that share a window of 50 words."""
+    rng, rows = random.Random(12), []
+    for _ in range(25):
+        p = apart(rng, 60)
+        rows += [" ".join(apart(rng, rng.randrange(30)) + part + apart(rng, rng.randrange(30))) for part in rng.sample([p[:35], p[25:], p, p], 4)]
+    windows, root = {}, list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in substrings.passages(spark.createDataFrame(list(enumerate(rows)), SCHEMA)).collect():
+        root[find(r["doc_id"])] = find(r["other_doc_id"])
+    for i, text in enumerate(rows):
+        for g in shingles(text, 50):
+            if len(g) == 50:
+                windows.setdefault(g, []).append(i)
+    shared = [d for d in windows.values() if len(d) > 1]
+    assert len(shared) == 25 * 11 and all(len({find(x) for x in d}) == 1 for d in shared)
+
+
 def test_chains():
     rng = np.random.RandomState(1)
     at, other = rng.randint(0, 40, 30), rng.randint(0, 40, 30)
