@@ -165,6 +165,19 @@ def test_passages_of_parts(spark):
     assert len(shared) == 25 * 11 and all(len({find(x) for x in d}) == 1 for d in shared)
 
 
+@pytest.mark.parametrize("each", [6, 8, 10])
+def test_fuzzy_passages(spark, each):
+    """60-word passages with one other word in each 6 (identity 0.83), 8 or 10: every pair that has the identity is found."""
+    rng, rows = random.Random(each), []
+    for _ in range(40):
+        p = apart(rng, 60)
+        q = [f"e{rng.randrange(10**9)}" if i % each == each - 1 else w for i, w in enumerate(p)]
+        rows += [" ".join(apart(rng, 20) + x + apart(rng, 20)) for x in (p, q)]
+    found = substrings.passages(spark.createDataFrame(list(enumerate(rows)), SCHEMA)).collect()
+    assert {frozenset((r["doc_id"], r["other_doc_id"])) for r in found} == {frozenset((i, i + 1)) for i in range(0, 80, 2)}
+    assert all(r["n_words"] >= 50 and r["identity"] >= 0.8 for r in found)
+
+
 def test_chains():
     rng = np.random.RandomState(1)
     at, other = rng.randint(0, 40, 30), rng.randint(0, 40, 30)
