@@ -31,8 +31,6 @@ from pyspark.sql import functions as F
 from . import vectext as V
 
 ORDER = 3
-#: Bound of the training sample, in bytes of text per language.
-SAMPLE_BYTES = 1_000_000
 
 _FOLD = V.LOWER.copy()
 _FOLD[:128] = 32
@@ -191,19 +189,14 @@ class Scorer:
         return out
 
 
-def train(documents: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Model:
+def train(documents: DataFrame) -> Model:
     """The model of documents (text, lang) with a lang.
 
-    Counted over a sample of whole texts of about sample_bytes per language, taken by hash
-    of the text, so the model's size is bounded: at most that many windows a language.
+    Counted over all texts. Windows of ORDER + 1 folded bytes are added up in each task and then by Spark, so
+    what the driver gets are the distinct windows of each language, which texts of any length and number repeat.
     """
-    rows = documents.select("text", "lang").filter("lang is not null and text is not null")
-    share = {r["lang"]: min(1.0, sample_bytes / max(1, r["size"])) for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("size")).collect()}
-    if not share:
-        return Model([], [], [], [], [])
-    part = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])[F.col("lang")]
-    picked = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < part * 1_000_000).select("lang", "text")
-    sums = picked.mapInArrow(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    rows = documents.select("lang", "text").filter("lang is not null and text is not null")
+    sums = rows.mapInArrow(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     return Model.fit(sums.toPandas().sort_values(["lang", "gram"]))
 
 

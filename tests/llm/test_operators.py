@@ -200,6 +200,19 @@ def test_language(spark, edges):
     assert np.exp2(-bits).sum() <= 1.0 + 1e-6
 
 
+def test_language_of_long_texts(spark):
+    """Training counts all texts: a language of one long text is learned, and copies don't drive out what stands beside them."""
+    copies = [("the and of thing " * 60_000, "en")] * 3 + [("when shall we meet again ", "en")]
+    docs = copies + [("der und die das nicht " * 200_000, "de")]
+    model = langid.train(spark.createDataFrame(docs, "text string, lang string").repartition(5))
+    assert model.langs == ["de", "en"]
+    # Each folded byte of each text is one window, by its language.
+    frame = spark.createDataFrame(docs, "text string, lang string").select("lang", "text").mapInArrow(langid.counted, "lang string, gram long, n long").groupBy("lang").agg(F.sum("n").alias("n"))
+    assert {r["lang"]: r["n"] for r in frame.collect()} == {lang: sum(len(t) for t, x in docs if x == lang) for lang in ("de", "en")}
+    found = langid.predict(spark.createDataFrame([(1, "meet again"), (2, "die und nicht")], SCHEMA), model)
+    assert [r["lang_pred"] for r in found.orderBy("doc_id").collect()] == ["en", "de"]
+
+
 def test_bpe(spark, edges):
     import public_tokenizers as P
 
