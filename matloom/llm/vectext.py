@@ -11,10 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 SLICE_BYTES = 1 << 20
+LONG_RUN = 256
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -95,11 +97,18 @@ def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np
 
 
 def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte runs, equal for equal runs wherever they stand."""
+    """64-bit hashes of byte runs, equal for equal runs wherever they stand.
+
+    Sums of powers, which take one pass; modulo 2^64 these collide on some runs of 1,024 bytes and
+    more, so long runs are hashed one by one.
+    """
     power, inverse = powers(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * inverse[starts])
+    out = mixed((sums[ends] - sums[starts]) * inverse[starts])
+    for i in np.flatnonzero(ends - starts > LONG_RUN).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), seed=LONG_RUN)
+    return out
 
 
 def shingled(words: np.ndarray, firsts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
