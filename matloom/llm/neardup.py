@@ -14,9 +14,11 @@ those bits. What is left after that is compared in full, but for pairs that pref
 shingles, signature bits or set sizes rule out. So a large group of near copies costs a few
 comparisons a node and tree, while no candidate link between components is skipped. Links are confirmed on full shingle sets.
 
+A pair whose signature bits agree in fewer than AGREE of 128 is passed over: at similarity 0.8 that has a probability under 1e-12.
+
 Null, empty and wordless texts have an empty set and are linked with nothing; a document of fewer words
 than k has its whole sequence as one shingle; equal rows share a component, as do rows of one doc_id
-with equal sets. A row without doc_id has a null component and is kept.
+with equal sets. A row without doc_id has a null component and is kept. Extra columns don't matter; deduplicated() keeps them.
 """
 
 from __future__ import annotations
@@ -71,13 +73,13 @@ def signatures(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-_SIGNED = T.StructType().add("doc_id", "long").add("n", "long").add("node", "long").add("twin", "long").add("keys", T.ArrayType(T.LongType())).add("bits0", "long").add("bits1", "long")
+_SIGNED = T.StructType().add("doc_id", "long").add("key", "long").add("n", "long").add("node", "long").add("twin", "long").add("keys", T.ArrayType(T.LongType())).add("bits0", "long").add("bits1", "long")
 
 
 def _signer(k: int, seed: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
+            ids, keys = batch.column(0), batch.column(1)
             for a, b, data, offsets in V.rows_in(batch, "text"):
                 hashes, at = shingle_sets(data, offsets, k)
                 n = np.diff(at)
@@ -103,6 +105,7 @@ def _signer(k: int, seed: int):  # noqa: ANN202
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(a, b - a),
+                        keys.slice(a, b - a),
                         pa.array(n.astype(np.int64)),
                         pa.array(node, mask=empty),
                         pa.array(twin, mask=empty),
@@ -116,36 +119,42 @@ def _signer(k: int, seed: int):  # noqa: ANN202
     return run
 
 
+def _keyed(documents: DataFrame) -> DataFrame:
+    """(doc_id, key, text): key tells the texts of one doc_id apart."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
+
+
 def _signed(documents: DataFrame, k: int) -> DataFrame:
     """The written table of all documents' nodes; drawn anew with another seed if two different sets met in one 64-bit node."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     for seed in range(8):
-        found = written(rows.mapInArrow(_signer(k, seed), _SIGNED), "signed")
+        found = written(_keyed(documents).mapInArrow(_signer(k, seed), _SIGNED), "signed")
         if not found.filter("node is not null").groupBy("node").agg((F.min("twin") != F.max("twin")).alias("bad")).filter("bad").limit(1).count():
             return found
     raise RuntimeError("no seed tells all shingle sets apart")
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, k: int, percent: int, seedless: bool = True) -> DataFrame:
-    """The pairs (u, v) of nodes whose full sets reach percent, from the texts of a document of each."""
-    where = nodes.select("node", "doc", "n")
-    sides = pairs.join(where.select(F.col("node").alias("u"), F.col("doc").alias("du"), F.col("n").alias("nu")), "u").join(where.select(F.col("node").alias("v"), F.col("doc").alias("dv"), F.col("n").alias("nv")), "v")
-    needed = sides.select(F.col("du").alias("doc_id")).unionByName(sides.select(F.col("dv").alias("doc_id"))).distinct()
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed, "doc_id", "left_semi")
-    both = sides.join(texts.select(F.col("doc_id").alias("du"), F.col("text").alias("tu")), "du").join(texts.select(F.col("doc_id").alias("dv"), F.col("text").alias("tv")), "dv").select("u", "v", "nu", "nv", "tu", "tv")
+def _texts(documents: DataFrame, nodes: DataFrame, shared: DataFrame) -> DataFrame:
+    """(node, text) of the nodes that have a neighbour at all, written: the text of one document each."""
+    wanted = nodes.select("node", F.col("doc").alias("doc_id"), "key").join(shared.select("node").distinct(), "node", "left_semi")
+    # Repeated rows of a document are one text.
+    return written(_keyed(documents).join(wanted, ["doc_id", "key"]).select("node", "text").dropDuplicates(["node"]), "texts")
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (u, v) of nodes whose full sets reach percent. Adaptive execution splits a node of many pairs."""
+    side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
+    both = pairs.select("u", "v").join(side("u"), "u").join(side("v"), "v").select("u", "v", "tu", "tv")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [batch.column(j).to_numpy() for j in (2, 3)]
-            size = np.concatenate([[0], np.cumsum(V.spelled(batch.column(4))[1][1:] - V.spelled(batch.column(4))[1][:-1] + np.diff(V.spelled(batch.column(5))[1]))])
+            size = np.concatenate([[0], np.cumsum(sum(np.diff(V.spelled(batch.column(j))[1]) for j in (2, 3)))])
             linked = np.zeros(batch.num_rows, bool)
             for a, b in V.sliced(size, 4 * V.SLICE_BYTES):
                 part = batch.slice(a, b - a)
-                (hu, au), (hv, av) = (shingle_sets(*V.spelled(part.column(j)), k) for j in (4, 5))
+                (hu, au), (hv, av) = (shingle_sets(*V.spelled(part.column(j)), k) for j in (2, 3))
                 for i in range(b - a):
                     x, y = hu[au[i] : au[i + 1]], hv[av[i] : av[i + 1]]
-                    if len(x) != n[0][a + i] or len(y) != n[1][a + i]:
-                        continue  # another row of the same doc_id
                     inter = len(np.intersect1d(x, y, assume_unique=True))
                     linked[a + i] = 100 * inter >= percent * (len(x) + len(y) - inter)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(linked)), batch.column(1).filter(pa.array(linked))], ["u", "v"])
@@ -199,27 +208,24 @@ def _deeper(member: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
 
 
-def _prefixed(member: DataFrame, nodes: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
+def _prefixed(member: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """All pairs (u, v) of member (node, c) of different components that can be linked at all, by prefix filtering.
 
     Sets of sizes n and m at a similarity of percent share a = ceil(percent * (n + m) / (100 + percent)) shingles. So, with
     shingles in one order, both have a shared one among their first n - a + 1 and m - a + 1. Shingles of one
     component alone, which edits make, stand first, then those that few members have: a member of too many edits is ruled out alone.
     """
-    wanted = member.join(nodes.select("node", "doc", "n"), "node")
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).join(wanted, "doc").select("node", "c", "n", "text")
+    texts = texts.join(member.join(nodes.select("node", "n"), "node"), "node").select("node", "c", "n", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.column(2).to_numpy()
             for a, b, data, offsets in V.rows_in(batch, "text"):
                 hashes, at = shingle_sets(data, offsets, k)
                 own = batch.slice(a, b - a)
                 found = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64)))
-                same = pa.array(np.diff(at) == n[a:b])  # else the text of another row of this doc_id
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), found], ["node", "c", "n", "shingles"]).filter(same)
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), found], ["node", "c", "n", "shingles"])
 
-    sets = written(texts.mapInArrow(run, "node long, c long, n long, shingles array<long>").dropDuplicates(["node"]), "sets")
+    sets = written(texts.mapInArrow(run, "node long, c long, n long, shingles array<long>"), "sets")
     tokens = sets.select("node", "c", "n", F.explode("shingles").alias("t"))
     known = tokens.groupBy("t").agg(F.count("*").alias("df"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("t", "df")
     by_node = W.partitionBy("node")
@@ -232,34 +238,38 @@ def _prefixed(member: DataFrame, nodes: DataFrame, documents: DataFrame, k: int,
     return x.join(y, "t").filter(fit).select("u", "v").distinct()
 
 
-def linked(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of documents: doc_id, n_shingles, component_id, kept."""
+def _grouped(documents: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The written rows of _SIGNED, and (node, c) of all nodes: those of one c are linked."""
     signed = _signed(documents, k)
-    nodes = written(
-        signed.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("bits0").alias("bits0"), F.first("bits1").alias("bits1"), F.first("keys").alias("keys")),
-        "nodes",
-    )
+    least = F.min(F.struct("doc_id", "key"))
+    rows = signed.filter("node is not null and doc_id is not null").groupBy("node").agg(least.alias("least"), *[F.first(c).alias(c) for c in ("n", "bits0", "bits1", "keys")])
+    nodes = written(rows.select("node", F.col("least.doc_id").alias("doc"), F.col("least.key").alias("key"), "n", "bits0", "bits1", "keys"), "nodes")
     placed = nodes.select("node", F.explode("keys").alias("region"))
     # A region's least node; regions of one node, which are nearly all, go.
     least = placed.groupBy("region").agg(F.min("node").alias("u"), F.count("*").alias("size")).filter("size > 1").select("region", "u")
     shared = written(placed.join(least, "region").select("region", "node", "u"), "shared")
+    texts = _texts(documents, nodes, shared)
     first = written(_possible(shared.filter("node != u").select("u", F.col("node").alias("v")).distinct(), nodes, percent), "stars")
-    groups = components(_confirmed(first, nodes, documents, k, percent))
+    groups = components(_confirmed(first, texts, k, percent))
 
     # Regions that hold several components still are searched deeper.
     tried = first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     pairs = written(_deeper(_undecided(shared, groups, nodes), tried, percent), "neighbours")
     if pairs.limit(1).count():
         tried = tried.unionByName(pairs)
-        groups = extended(groups, _confirmed(pairs, nodes, documents, k, percent))
+        groups = extended(groups, _confirmed(pairs, texts, k, percent))
 
     # What is left is compared in full.
     member = _undecided(shared, groups, nodes).select("node", "c").distinct()
-    pairs = written(_prefixed(member, nodes, documents, k, percent).join(tried, ["u", "v"], "left_anti"), "pairs")
+    pairs = written(_prefixed(member, nodes, texts, k, percent).join(tried, ["u", "v"], "left_anti"), "pairs")
     if pairs.limit(1).count():
-        groups = extended(groups, _confirmed(pairs, nodes, documents, k, percent))
+        groups = extended(groups, _confirmed(pairs, texts, k, percent))
+    return signed, nodes.select("node", "doc").join(groups, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("c"))
+
 
-    named_groups = nodes.select("node", "doc").join(groups, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("c"))
+def linked(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One row per row of documents: doc_id, n_shingles, component_id, kept."""
+    signed, named_groups = _grouped(documents, k, percent)
     smallest = named_groups.groupBy("c").agg(F.min("doc").alias("component_id"))
     of_node = named_groups.join(smallest, "c").select("node", "component_id")
     out = signed.select("doc_id", F.col("n").alias("n_shingles"), "node").join(of_node, "node", "left")
@@ -268,6 +278,30 @@ def linked(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 
 def deduplicated(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """documents without those whose component has one of a smaller doc_id."""
-    gone = linked(documents, k, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    """documents with one row of each component: that of the least doc_id, and of its texts the one of the least hash.
+
+    Rows are told apart by doc_id and text, so another text of a doc_id stays or goes by its own component;
+    of rows that repeat both, one stays. Rows without words stay once for each doc_id and text, rows without doc_id all.
+    """
+    signed, named_groups = _grouped(documents, k, percent)
+    rows = signed.filter("doc_id is not null").groupBy("doc_id", "key").agg(F.first("node").alias("node"), F.count("*").alias("times"))
+    rows = written(rows.join(named_groups.select("node", "c"), "node", "left"), "rows")
+    best = rows.filter("c is not null").groupBy("c").agg(F.min(F.struct("doc_id", "key")).alias("x")).select("c", F.col("x.doc_id").alias("best_id"), F.col("x.key").alias("best_key"))
+    told = rows.filter("c is not null").join(best, "c")
+    gone = told.filter((F.col("doc_id") != F.col("best_id")) | (F.col("key") != F.col("best_key"))).select("doc_id", "key")
+    own, key = (_free(documents, c) for c in ("_own", "_key"))
+    named = lambda df: df.select(F.col("doc_id").alias(own), F.col("key").alias(key))
+    marked = documents.withColumns({own: F.col("doc_id").cast("long"), key: F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    kept = marked.join(named(gone), [own, key], "left_anti")
+    again = rows.filter("times > 1").select("doc_id", "key")
+    if again.limit(1).count():
+        kept = kept.join(named(again), [own, key], "left_anti").unionByName(kept.join(named(again), [own, key], "left_semi").dropDuplicates([own, key]))
+    return kept.select(*documents.columns)
+
+
+def _free(df: DataFrame, name: str) -> str:
+    """name, or one like it that df lacks."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
