@@ -3,13 +3,14 @@
 Features are a text's words and word beginnings, present or not. From a bounded sample of labelled rows,
 Spark counts in how many texts of either label each stands, and the VOCABULARY most telling
 ones are kept, with the identity terms. Logistic regression is fitted on these with a penalty:
-for each sampled text that names a group, the term is swapped for the other terms of its
+in each sampled text that names a group, the term is swapped with each other term of its
 list, and the squared change of the score is added to the loss, so weights can't rest on the mention
-of a group.
+of a group. Tasks swap and sum the changes' products; the driver gets the sums.
 
 Null counts as empty; an empty text scores the intercept. Words are runs of ASCII letters, digits and
 non-ASCII characters, A-Z lower-cased; a text of any length is scored whole. Repeated rows
-score alike; without labels of both kinds the score is their mean, or 0 without any.
+score alike and count once in the fit; null labels don't count; without labels of both kinds the score is their mean, or 0 without any. Extra
+columns stay, but for `score`, which is the operator's own.
 """
 
 from __future__ import annotations
@@ -124,31 +125,48 @@ class Model:
         return 1 / (1 + np.exp(-(self.vocabulary.present(data, offsets) @ self.weights + self.intercept)))
 
 
-def swaps(present: np.ndarray, vocabulary: Vocabulary, identities: tuple[tuple[str, ...], ...] = IDENTITIES) -> np.ndarray:
-    """Changes of the feature rows when a text's identity term is swapped for each other of its list."""
-    out = []
+def swapped(words: list[bytes], identities: tuple[tuple[str, ...], ...] = IDENTITIES) -> Iterator[tuple[bytes, float]]:
+    """For each term of a list that the lower-cased words hold and each other term of the list: the words with the two
+    exchanged, and the weight of this swap among the term's."""
+    held = set(words)
     for terms in identities:
-        f, word = _of_word(list(terms))
-        at = np.minimum(np.searchsorted(vocabulary.keys, f), max(0, len(vocabulary.keys) - 1))
-        known = vocabulary.keys[at] == f if len(vocabulary.keys) else np.zeros(len(f), bool)
-        own = np.zeros((len(terms), len(vocabulary.keys)), np.float32)
-        own[word[known], at[known]] = 1
-        whole = [np.flatnonzero(vocabulary.keys == f[k]) for k in range(len(terms))]  # words' own features come first
-        for i, j in ((i, j) for i in range(len(terms)) for j in range(len(terms)) if i != j):
-            if len(whole[i]):
-                named = int((present[:, whole[i][0]] > 0).sum())
-                if named:
-                    out.append((own[j] - own[i]) * np.sqrt(named / (len(terms) - 1)))
-    return np.array(out, np.float32).reshape(len(out), len(vocabulary.keys))
+        raw = [t.encode() for t in terms]
+        for i, t in enumerate(raw):
+            for j, u in enumerate(raw):
+                if t in held and i != j and not (u in held and j < i):  # a text with both is one swap
+                    yield b" ".join(u if w == t else t if w == u else w for w in words), 1 / (len(raw) - 1)
+
+
+def changes(data: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary, identities: tuple[tuple[str, ...], ...] = IDENTITIES) -> np.ndarray:
+    """The weighted changes of the feature rows by all swaps in all texts."""
+    data = V.LOWER[data]
+    starts, ends, firsts = V.spans(data, offsets, V.ALPHANUMERIC)
+    terms = np.unique(_hashes([t for x in identities for t in x])) if identities else np.zeros(0, np.uint64)
+    named = np.flatnonzero(np.isin(V.hashed(data, starts, ends), terms))
+    out = [np.zeros((0, len(vocabulary.keys)), np.float32)]
+    for r in np.unique(np.searchsorted(firsts, named, "right") - 1).tolist():
+        words = [data[s:e].tobytes() for s, e in zip(starts[firsts[r] : firsts[r + 1]], ends[firsts[r] : firsts[r + 1]], strict=True)]
+        own = vocabulary.present(data[offsets[r] : offsets[r + 1]], np.array([0, offsets[r + 1] - offsets[r]]))
+        for text, weight in swapped(words, identities):
+            other = vocabulary.present(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+            out.append((other - own) * np.float32(np.sqrt(weight)))
+    return np.concatenate(out)
+
+
+def _hashes(words: list[str]) -> np.ndarray:
+    data, offsets = V.spelled(pa.array(words, pa.string()))
+    return V.hashed(data, offsets[:-1], offsets[1:])
 
 
 def fitted(x: np.ndarray, y: np.ndarray, changed: np.ndarray, ridge: float = RIDGE, fairness: float = FAIRNESS, rounds: int = 25) -> tuple[np.ndarray, float]:
-    """Newton's method for the penalised logistic loss: ridge on weights, fairness on squared score changes."""
+    """Newton's method for the penalised logistic loss: ridge on weights, fairness on squared score changes.
+
+    changed: the sum of the changes' products, features by features.
+    """
     x1 = np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1)
     penalty = ridge * np.eye(x1.shape[1])
     penalty[-1, -1] = 1e-6
-    c = np.concatenate([changed, np.zeros((len(changed), 1), x.dtype)], 1)
-    penalty += fairness * (c.T @ c)
+    penalty[:-1, :-1] += fairness * changed
     w = np.zeros(x1.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-(x1 @ w)))
@@ -161,7 +179,7 @@ def fitted(x: np.ndarray, y: np.ndarray, changed: np.ndarray, ridge: float = RID
     return w[:-1], float(w[-1])
 
 
-def train(documents: DataFrame, labels: DataFrame, limit: int = SAMPLE, identities: tuple[tuple[str, ...], ...] = IDENTITIES) -> Model:
+def train(documents: DataFrame, labels: DataFrame, limit: int = SAMPLE, identities: tuple[tuple[str, ...], ...] = IDENTITIES, fairness: float = FAIRNESS) -> Model:
     """Fitted on documents (doc_id, text) with labels (doc_id, y), y 0 or 1."""
     picked = documents.select("doc_id", "text").join(F.broadcast(sampled(labels, limit)), "doc_id").select("y", F.coalesce("text", F.lit("")).alias("text"))
     # Exact copies of a text would make its words look telling.
@@ -189,7 +207,22 @@ def train(documents: DataFrame, labels: DataFrame, limit: int = SAMPLE, identiti
     x = np.zeros((len(sample), len(vocabulary.keys)), np.float32)
     for i, at in enumerate(sample["at"]):
         x[i, list(at)] = 1
-    weights, intercept = fitted(x, sample["y"].to_numpy(float), swaps(x, vocabulary, identities))
+    size = len(vocabulary.keys)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task's part of the changes' products."""
+        total = np.zeros((size, size))
+        for batch in batches:
+            for _, _, data, offsets in V.rows_in(batch, "text"):
+                c = changes(data, offsets, vocabulary, identities).astype(np.float64)
+                total += c.T @ c
+        at = np.flatnonzero(total.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["at", "v"])
+
+    sums = rows.select("text").mapInArrow(summed, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()
+    changed = np.zeros(size * size)
+    changed[sums["at"].to_numpy(np.int64)] = sums["v"].to_numpy(float)
+    weights, intercept = fitted(x, sample["y"].to_numpy(float), changed.reshape(size, size), fairness=fairness)
     return Model(vocabulary, weights, intercept)
 
 
