@@ -6,8 +6,9 @@ the normal equations of their rows, Spark adds these up, and a ridge regression
 Isotonic regression on labelled rows held back from the fit turns its output into probabilities.
 
 The fit takes at most about SAMPLE labelled rows, by hash of the doc_id. Null counts as empty; empty
-texts are scored from statistics that are all zero; repeated rows are scored alike. Without
-labels of both kinds, the score is the labels' mean, or 1 without any.
+texts are scored from statistics that are all zero; repeated rows are scored alike. Equal outputs of different labels
+have one probability. Null labels don't count; without
+labels of both kinds, the score is the labels' mean, or 1 without any. Extra columns stay; of scored(), `score` is the operator's own.
 """
 
 from __future__ import annotations
@@ -130,11 +131,11 @@ def features(z: np.ndarray) -> np.ndarray:
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: rising (x, mean y) with one point at either end of each pool."""
-    order = np.argsort(x, kind="stable")
+    """Pool adjacent violators: rising (x, mean y) with one point at either end of each pool. Equal x are one pool from the start."""
+    at, of = np.unique(x, return_inverse=True)
     pools: list[list[float]] = []  # sum, count, least x, largest x
-    for a, b in zip(x[order].tolist(), y[order].tolist(), strict=True):
-        pools.append([b, 1, a, a])
+    for a, b, n in zip(at.tolist(), np.bincount(of, weights=y).tolist(), np.bincount(of).tolist(), strict=True):
+        pools.append([b, n, a, a])
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
             s, n, _, hi = pools.pop()
             pools[-1] = [pools[-1][0] + s, pools[-1][1] + n, pools[-1][2], hi]
@@ -196,8 +197,8 @@ def train(documents: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model
     return model
 
 
-def scored(documents: DataFrame, model: Model, text: str = "text", keep_text: bool = True, least: float | None = None) -> DataFrame:
-    """documents with score, the probability of label 1; only those of least or more, if given."""
+def scored(documents: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """documents with score, the probability of label 1."""
     rest = documents.drop("score")
     keep = [c for c in rest.columns if keep_text or c != text]
     schema = T.StructType([*rest.select(*keep).schema.fields]).add("score", "double")
@@ -207,7 +208,18 @@ def scored(documents: DataFrame, model: Model, text: str = "text", keep_text: bo
         for batch in batches:
             found = [shipped.value.scores(statistics(data, offsets)) for _, _, data, offsets in V.rows_in(batch, text)]
             score = np.concatenate(found) if found else np.zeros(0)
-            out = pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in keep], pa.array(score)], schema.names)
-            yield out if least is None else out.filter(pa.array(score >= least))
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in keep], pa.array(score)], schema.names)
 
     return rest.mapInArrow(run, schema)
+
+
+def selected(documents: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
+    """The documents whose score is least or more, with their own columns."""
+    shipped = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shipped.value.scores(statistics(data, offsets)) for _, _, data, offsets in V.rows_in(batch, text)]
+            yield batch.filter(pa.array((np.concatenate(found) if found else np.zeros(0)) >= least))
+
+    return documents.mapInArrow(run, documents.schema)
