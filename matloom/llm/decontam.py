@@ -8,31 +8,34 @@ block in any window, or m - BLOCK + 1 if none has it. Where the shift is zero, t
 windows' suffix, selects a bucket of windows; these are compared word by word. The search
 runs on many stretches of text at once, each a lane of a NumPy vector.
 
-The benchmark's windows are sent to the workers in blocks of at most PATTERN_WORDS words; more than
-that take one pass a block, so memory holds for a benchmark of any size.
+The benchmark's windows are sent to the workers in blocks of about PATTERN_WORDS words. Where there are several, each block has a
+pass of its own over the texts, whose hits are written before the next block is sent; so driver and workers hold one block at
+a time (a single item is never split). At the end the hits of all blocks are joined by a 128-bit hash of the text.
 
 Null and empty texts have no words, no hits and aren't contaminated; null and wordless items
-have no window; repeated item texts count as items each. Extra columns stay.
+have no window; repeated item texts count as items each; all items without an id count as one, which the digest leaves out. Repeated rows are
+marked each for itself. An empty benchmark hits nothing. Extra columns stay; those that marked() adds replace any of the same name, clean() adds none.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import written
 from . import vectext as V
 
 WINDOW = 13
 BLOCK = 2
 LANE = 1024
-#: Largest set of patterns that is sent to the workers at once, in words of benchmark text.
-PATTERN_WORDS = 4_000_000
+#: Largest set of patterns that is sent to the workers at once, in words of benchmark text (some 600 bytes each at the most).
+PATTERN_WORDS = 400_000
 
 
 def worded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -145,14 +148,20 @@ def occurrences(windows: list[Windows], data: np.ndarray, starts: np.ndarray, en
             yield np.array(at), w.m, w.items[k]
 
 
-def _pattern_blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple]]:
-    """The items in blocks of about limit bytes / 6, by hash of the id where one block isn't enough."""
+def _pattern_blocks(benchmark: DataFrame, limit: int) -> tuple[int, Callable[[int], list[tuple]]]:
+    """The number of blocks of about limit words of six bytes, and what gets a block's items; they are dealt by hash of id and text."""
     items = benchmark.select("item_id", "text").filter("text is not null")
     size = items.agg(F.sum(F.octet_length("text")).alias("s")).first()["s"] or 0
     n = max(1, -(-size // (limit * 6)))
-    for k in range(n):
+
+    def block(k: int) -> list[tuple]:
         part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [(r["item_id"], r["text"]) for r in part.toLocalIterator()]
+        return [(r["item_id"], r["text"]) for r in part.toLocalIterator()]
+
+    return n, block
+
+
+OWN = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans")
 
 
 def marked(documents: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, pattern_words: int = PATTERN_WORDS, share: int = 20) -> DataFrame:
@@ -162,20 +171,45 @@ def marked(documents: DataFrame, benchmark: DataFrame, text: str = "text", windo
     contaminated: some word is hit, and share * n_hit >= n_words. items_sha256 is over the occurring
     items' ids, sorted as strings and joined by commas.
     """
-    own = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans", "_items")
-    out = documents.drop(*[c for c in documents.columns if c in own])
-    rest = out.schema
-    for items in _pattern_blocks(benchmark, pattern_words):
-        out = _passed(out, compiled(items, window), text)
+    out = documents.drop(*[c for c in documents.columns if c.lower() in OWN and c != text])
+    names = out.columns
+    n, block = _pattern_blocks(benchmark, pattern_words)
+    if n == 1:
+        out = _passed(out, compiled(block(0), window), text)
+    else:
+        out = _passed(out, [], text).drop("hit_spans", "_items")
+        hits = None
+        for k in range(n):
+            windows = compiled(block(k), window)
+            found = _passed(documents.select(*_key(F.col(text)), F.col(text).alias("text")), windows, "text").filter(F.size("_items") > 0)
+            # Equal texts have equal hits.
+            found = written(found.select("_k0", "_k1", "hit_spans", "_items").dropDuplicates(["_k0", "_k1"]), "hits")
+            hits = found if hits is None else hits.unionByName(found)
+        merged = hits.groupBy("_k0", "_k1").agg(F.flatten(F.collect_list("hit_spans")).alias("_spans"), F.array_distinct(F.flatten(F.collect_list("_items"))).alias("_items"))
+        merged = merged.select("_k0", "_k1", _united(F.array_sort("_spans")).alias("hit_spans"), "_items")
+        none = [F.coalesce(c, F.array().cast(merged.schema[c].dataType)).alias(c) for c in ("hit_spans", "_items")]
+        out = out.select("*", *_key(F.col(text))).join(merged, ["_k0", "_k1"], "left").select(*names, "n_words", *none)
     ids = F.array_sort(F.col("_items"))
     hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda s, x: s + x["to"] - x["from"])
     out = out.withColumn("n_hit", hit).withColumns({"n_items": F.size("_items").cast("long"), "items_sha256": F.sha2(F.array_join(ids, ",").cast("binary"), 256), "contaminated": (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))})
-    return out.select(*rest.names, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans")
+    return out.select(*names, *OWN)
+
+
+def _key(text: Column) -> list[Column]:
+    t = F.coalesce(text.cast("string"), F.lit(""))
+    return [F.xxhash64(t).alias("_k0"), F.xxhash64(F.lit(1), t).alias("_k1")]
+
+
+def _united(spans: Column) -> Column:
+    """Sorted spans, with those that overlap or touch made one."""
+    reach = lambda i: F.coalesce(F.array_max(F.transform(F.slice(spans, F.lit(1), i), lambda y: y["to"])), F.lit(-1))
+    first = F.filter(F.transform(spans, lambda x, i: F.struct(x["from"].alias("from"), i.alias("i"))), lambda x: x["from"] > reach(x["i"]))
+    ends = F.transform(first, lambda x, k: F.array_max(F.transform(F.slice(spans, x["i"] + 1, F.coalesce(F.get(first, k + 1)["i"], F.size(spans)) - x["i"]), lambda y: y["to"])))
+    return F.transform(F.arrays_zip(first.alias("f"), ends.alias("e")), lambda x: F.struct(x["f"]["from"].alias("from"), x["e"].alias("to")))
 
 
 def _passed(documents: DataFrame, windows: list[Windows], text: str) -> DataFrame:
-    base = [f for f in documents.schema.fields if f.name not in ("n_words", "hit_spans", "_items")]
-    before = "hit_spans" in documents.columns
+    base = documents.schema.fields
     schema = T.StructType([*base]).add("n_words", "long").add("hit_spans", T.ArrayType(T.StructType().add("from", "long").add("to", "long"))).add("_items", T.ArrayType(T.StringType()))
     shipped = documents.sparkSession.sparkContext.broadcast(windows)
     span_type = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
@@ -184,8 +218,8 @@ def _passed(documents: DataFrame, windows: list[Windows], text: str) -> DataFram
         for batch in batches:
             names = batch.schema.names
             n_words = np.zeros(batch.num_rows, np.int64)
-            spans: list[list[dict]] = batch.column(names.index("hit_spans")).to_pylist() if before else [[] for _ in range(batch.num_rows)]
-            ids: list[list[str]] = batch.column(names.index("_items")).to_pylist() if before else [[] for _ in range(batch.num_rows)]
+            spans: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+            ids: list[set] = [set() for _ in range(batch.num_rows)]
             for a, b, data, offsets in V.rows_in(batch, text):
                 data, starts, ends, firsts = worded(data, offsets)
                 n_words[a:b] = np.diff(firsts)
@@ -200,20 +234,19 @@ def _passed(documents: DataFrame, windows: list[Windows], text: str) -> DataFram
                     rows.append((np.searchsorted(firsts, places, "right") - 1, items))
                 for r, items in rows:
                     for i in np.unique(r):
-                        ids[a + i] = sorted({*ids[a + i], *(str(x) for x in items)})
-                        spans[a + i] = spans[a + i] or []
+                        ids[a + i].update(None if x is None else str(x) for x in items)
                 for i in np.unique(np.concatenate([r for r, _ in rows])):
-                    own = hit[firsts[i] : firsts[i + 1]].copy()
-                    for x in spans[a + i]:
-                        own[x["from"] : x["to"]] = True
+                    own = hit[firsts[i] : firsts[i + 1]]
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]])))
                     spans[a + i] = [{"from": int(s), "to": int(e)} for s, e in zip(edge[::2], edge[1::2], strict=True)]
             kept = [batch.column(names.index(f.name)) for f in base]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(n_words), pa.array(spans, span_type), pa.array(ids, pa.list_(pa.string()))], schema.names)
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(n_words), pa.array(spans, span_type), pa.array([sorted(x, key=lambda v: (v is None, v or "")) for x in ids], pa.list_(pa.string()))], schema.names)
 
     return documents.mapInArrow(run, schema)
 
 
-def clean(documents: DataFrame, benchmark: DataFrame, **options: int) -> DataFrame:
+def clean(documents: DataFrame, benchmark: DataFrame, text: str = "text", **options: int) -> DataFrame:
     """The documents that aren't contaminated, with their own columns."""
-    return marked(documents, benchmark, **options).filter(~F.col("contaminated")).select(*documents.columns)
+    names = [f"c{k}" for k in range(len(documents.columns))]
+    found = marked(documents.toDF(*names), benchmark, names[documents.columns.index(text)], **options)
+    return found.filter(~F.col("contaminated")).select(*names).toDF(*documents.columns)
