@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but
 the last return the columns of documents. Null texts count as empty; empty tables pass
-through all stages; repeated rows are treated alike; columns beside doc_id and text pass through.
+through all stages; rows that repeat doc_id and text are treated alike, and one of them is left by the near-duplicate stage;
+columns beside doc_id and text pass through whatever their names (n_chars follows the text).
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches LEAST_QUALITY, learned from the labels of all."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y"))
     model = quality.train(docs, labels)
-    return quality.scored(docs, model, least=LEAST_QUALITY).select(*docs.columns)
+    return quality.selected(docs, model, LEAST_QUALITY)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
