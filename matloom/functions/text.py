@@ -38,7 +38,9 @@ def normalize_text(c: Column) -> Column:
 
 
 def normalized_header(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(normalize_text(c)), r"(?U)\s+", " "))
+    """Normalized, case-folded (letters whose folding isn't their lower case: ß, ς, ſ), white space collapsed."""
+    folded = F.translate(F.replace(F.lower(normalize_text(c)), F.lit("ß"), F.lit("ss")), "ςſ", "σs")
+    return F.trim(F.regexp_replace(folded, r"(?U)\s+", " "))
 
 
 def parse_number(c: Column) -> Column:
@@ -135,7 +137,7 @@ def url_problem(url: Column) -> Column:
     """Why a URL isn't safe to fetch, as far as its text tells; null if nothing speaks against it."""
     host = F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")))
     local = host.isin("localhost", "") | host.endswith(".local") | host.endswith(".localhost")
-    private = host.rlike(r"^(?:0|10|127)\.|^169\.254\.|^192\.168\.|^172\.(?:1[6-9]|2\d|3[01])\.|^100\.(?:6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.|^(?:22[4-9]|2[3-5]\d)\.|^\[(?:::1?|f[cd].*|fe80.*)\]$")
+    private = host.rlike(r"^(?:0|10|127)\.|^169\.254\.|^192\.168\.|^172\.(?:1[6-9]|2\d|3[01])\.|^100\.(?:6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.|^192\.0\.[02]\.|^198\.1[89]\.|^198\.51\.100\.|^203\.0\.113\.|^(?:22[4-9]|2[3-5]\d)\.|^\[(?:::1?|f[cd].*|fe80.*)\]$")
     return (
         F.when(~F.lower(F.coalesce(url, F.lit(""))).rlike("^https?://"), "unsupported scheme")
         .when(F.try_parse_url(url, F.lit("USERINFO")).isNotNull(), "credentials in URL")
@@ -147,12 +149,45 @@ def html_title(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"(?U)\s+", " "))
 
 
+def publisher_url(url: Column, doi: Column) -> Column:
+    """The file that a publisher's landing page of known form stands for; null for other URLs."""
+    host = F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")))
+    parts = F.filter(F.split(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), "/"), lambda x: x != "")
+    tail = F.regexp_replace(normalize_doi(F.coalesce(doi, F.lit(""))), r"^[^/]*/", "")
+    part = lambda k: F.get(parts, F.size(parts) + k)
+    named = F.regexp_extract(tail, r"(?i)^([a-z-]+?)\d{4,}$", 1)
+    slug = F.when(named == "", F.lower(F.get(parts, F.lit(0)))).otherwise(F.lower(named))
+    slug = F.when(slug == "app", "applsci").otherwise(slug)  # fixed value
+    article = F.when(F.length(part(-2)) < 5, F.lpad(part(-2), 5, "0")).otherwise(part(-2))
+    file = F.concat_ws("-", slug, part(-4), article)
+    known = host.isin("www.mdpi.com", "mdpi.com") & (F.size(parts) >= 5) & F.lower(part(-1)).isin("pdf", "full") & article.rlike(r"^\d+$") & part(-4).rlike(r"^\d+$")
+    return F.when(known, F.concat(F.lit("https://mdpi-res.com/d_attachment/"), slug, F.lit("/"), file, F.lit("/article_deploy/"), file, F.lit(".pdf")))
+
+
+def resolved(link: Column, base: Column) -> Column:
+    """A link of a page at base as a whole URL: links with a scheme, `//host`, `/path` and relative paths without dots."""
+    origin, scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1), F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
+    folder = F.regexp_replace(F.regexp_replace(base, r"[?#].*$", ""), r"(?<=[^/:])/[^/]*$", "")
+    return (
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
+        .when(link.startswith("//"), F.concat(scheme, link))
+        .when(link.startswith("/"), F.concat(origin, link))
+        .otherwise(F.concat(folder, F.lit("/"), link))
+    )
+
+
 def pdf_link(html: Column) -> Column:
     """The PDF that a page names: a citation tag, a link of that type, or an anchor."""
+    # Fixed patterns.
     rules = (r"(?is)<meta[^>]+name=[\"']citation_pdf_url[\"'][^>]+content=[\"']([^\"']+)", r"(?is)<link[^>]+type=[\"']application/pdf[\"'][^>]+href=[\"']([^\"']+)", r"(?is)<a[^>]+href=[\"']([^\"']+\.pdf(?:\?[^\"']*)?)[\"']")
     return F.coalesce(*[F.nullif(F.regexp_extract(html, r, 1), F.lit("")) for r in rules])
 
 
+def mention_count(c: Column) -> Column:
+    """How often a text, as it stands, mentions a mobility."""
+    return F.coalesce(F.regexp_count(c, F.lit(MENTION)), F.lit(0)).cast("long")
+
+
 def mobility_from_text(c: Column) -> Column:
     """STRUCT(value, raw, unit): the number after, else before, a mobility word, in cm2 V-1 s-1; null without one."""
     t = normalize_text(c)

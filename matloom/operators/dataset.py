@@ -19,21 +19,21 @@ def projected(df: DataFrame, columns: list[str] = DATASET) -> DataFrame:
 
 
 def numeric_key(cols: list[str] = DATASET) -> Column:
-    """The review build's key: numbers by value (8 and 10 significant digits), formulas without white space, codes trimmed."""
+    """The review build's key: numbers by value (8 and 10 significant digits), what is no number as empty, formulas without white space, codes trimmed."""
 
     def number(c: str, digits: int) -> Column:
         v = X.parse_number(F.col(c))
         size = F.when(v == 0, 0).otherwise(F.floor(F.log10(F.abs(F.when(v != 0, v)))))
         scale = F.pow(F.lit(10.0), digits - 1 - size)
-        return F.coalesce((F.round(v * scale) / scale).cast("string"), F.trim(F.col(c)))
+        return F.coalesce((F.round(v * scale) / scale).cast("string"), F.lit(""))
 
     formula, temperature, mobility, *codes = cols
-    return F.concat_ws("\x1f", F.regexp_replace(F.col(formula), r"(?U)\s+", ""), number(temperature, 8), number(mobility, 10), *[F.trim(F.coalesce(F.col(c), F.lit(""))) for c in codes])
+    return F.concat_ws("\x1f", F.regexp_replace(F.coalesce(F.col(formula), F.lit("")), r"(?U)\s+", ""), number(temperature, 8), number(mobility, 10), *[F.trim(F.coalesce(F.col(c), F.lit(""))) for c in codes])
 
 
 def string_key(cols: list[str] = DATASET) -> Column:
-    """The agent's key: trimmed text, so 300 and 300.0 differ."""
-    return F.concat_ws("\x1f", *[F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in cols])
+    """The agent's key: text without white space, so 300 and 300.0 differ."""
+    return F.concat_ws("\x1f", *[F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"(?U)\s+", "") for c in cols])
 
 
 def accepted(base: DataFrame, new: DataFrame, key: Column, order: list[str]) -> DataFrame:
@@ -67,25 +67,30 @@ def validation_notes(rules: dict | None = None, formula: str = DATASET[0], tempe
     return F.array_compact(F.array(*notes))
 
 
-def best_candidates(df: DataFrame) -> DataFrame:
-    """The most confident row of each (source, formula, temperature, mobility, page), the first in emission order (seq) among equals."""
-    key = ["source_id", F.regexp_replace("Crystal_structure", r"(?U)\s+", ""), "temperature", "N_type_carrier", "page"]
-    best = W.partitionBy(*key).orderBy(F.coalesce(F.col("confidence").try_cast("double"), F.lit(0.0)).desc(), "seq")
+def best_candidates(df: DataFrame, seq: str = "seq", by: list[str] | None = None) -> DataFrame:
+    """The most confident row of each (source, formula, temperature, mobility, page), the first in emission order (seq) among equals; of each paper, if by names one."""
+    key = [*(by or []), "source_id", F.regexp_replace("Crystal_structure", r"(?U)\s+", ""), "temperature", "N_type_carrier", "page"]
+    best = W.partitionBy(*key).orderBy(F.coalesce(F.col("confidence").try_cast("double"), F.lit(0.0)).desc(), seq)
     rows = df.withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r")
     return rows.orderBy("source_id", F.coalesce(F.col("page").try_cast("int"), F.lit(0)), "candidate_id")
 
 
-def refreshed(old: DataFrame, new: DataFrame) -> DataFrame:
-    """The review queue after a new extraction: decided or annotated rows keep their data, status and notes; those not found again stay if decided or manual."""
+def refreshed(old: DataFrame, new: DataFrame, seq: str = "seq") -> DataFrame:
+    """The review queue after a new extraction: decided or annotated rows keep their data, status and notes; those not found again stay if decided or manual.
+
+    Of old rows of one id, the last by seq, where old has that column, decides on a new row; of those not found again each stays. Old rows without an id decide on none.
+    """
     kept = [*DATASET, "review_status", "reviewer_notes"]
-    o = old.select("candidate_id", F.struct(*old.columns).alias("o"))
-    n = new.select("candidate_id", F.struct(*new.columns).alias("n"))
-    both = n.join(o, "candidate_id", "full_outer")
-    decided = F.lower(F.trim("o.review_status")).isin("approved", "rejected")
-    own = F.coalesce(decided | (F.trim("o.reviewer_notes") != ""), F.lit(False))
-    stays = F.col("n").isNotNull() | decided | (F.col("o.evidence_type") == "manual")
-    value = lambda c: F.when(F.col("n").isNull() | (own if c in kept else F.lit(False)), F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c)
-    return both.filter(stays).select(*[value(c) for c in new.columns], F.col("n").isNull().cast("int").alias("carried"))
+    text = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    order = F.col(seq) if seq in old.columns else F.lit(0)
+    last = old.filter(text("candidate_id") != "").groupBy("candidate_id").agg(F.max_by(F.struct(*old.columns), order).alias("o"))
+    decided = text("o.review_status").isin("approved", "rejected") | (text("o.reviewer_notes") != "")
+    found = new.select("candidate_id", F.struct(*new.columns).alias("n")).join(last, "candidate_id", "left")
+    value = lambda c: F.when(decided, F.coalesce(f"o.{c}", f"n.{c}")).otherwise(F.col(f"n.{c}")) if c in kept else F.col(f"n.{c}")
+    rows = found.select(*[value(c).alias(c) for c in new.columns], F.lit(0).alias("carried"))
+    stays = (text("evidence_type") == "manual") | text("review_status").isin("approved", "rejected")
+    rest = old.filter(stays).join(new.select("candidate_id").distinct(), "candidate_id", "left_anti")
+    return rows.unionByName(rest.select(*[F.col(c) if c in old.columns else F.lit("").alias(c) for c in new.columns], F.lit(1).alias("carried")))
 
 
 def built(base: DataFrame, review: DataFrame, rules: dict | None = None) -> tuple[DataFrame, DataFrame, dict[str, int]]:
@@ -116,15 +121,23 @@ def merged(base: DataFrame, extracted: DataFrame, deduplicate: bool = True) -> D
     return marked if deduplicate else marked.withColumn("merged", F.lit(True))
 
 
+# Fixed pattern: what a relevant document mentions.
+TARGET = r"(?i)\b(?:hall\s+)?mobility\b|\b(?:electron|carrier)\s+mobility\b|\bcarrier\s+concentration\b|\bmu\s*[_-]?\s*h\b"
+# Fixed texts: the reasons of the three decisions.
+REASONS = {
+    "not_relevant": "no mobility or carrier-transport target mention",
+    "mention_without_extractable_values": "mobility is discussed but no numeric sample-level value was extracted",
+    "candidates_extracted": "sample-level mobility candidates found",
+}
+
+
 def judged(text: Column, candidates: Column) -> Column:
-    """STRUCT(relevant, status, reason) of a document with so many candidates."""
-    terms = text.rlike(X.MENTION) | F.lower(text).contains("carrier concentration")
-    told = lambda ok, s, r: F.struct(F.lit(ok).alias("relevant"), F.lit(s).alias("status"), F.lit(r).alias("reason"))
-    return (
-        F.when(~F.coalesce(terms, F.lit(False)), told(False, "not_relevant", "no target property term found"))
-        .when(candidates == 0, told(True, "mention_without_extractable_values", "target terms without extractable values"))
-        .otherwise(told(True, "candidates_extracted", "candidate values extracted"))
-    )
+    """STRUCT(relevant, status, reason, candidate_count) of a document with so many candidates: only one with candidates is relevant."""
+    found = F.coalesce(candidates.cast("long"), F.lit(0))
+    status = F.when(~X.normalize_text(text).rlike(TARGET), "not_relevant").when(found == 0, "mention_without_extractable_values").otherwise("candidates_extracted")
+    reason = F.element_at(F.create_map(*[F.lit(x) for pair in REASONS.items() for x in pair]), status)
+    relevant = status == "candidates_extracted"
+    return F.struct(relevant.alias("relevant"), status.alias("status"), reason.alias("reason"), F.when(relevant, found).otherwise(0).alias("candidate_count"))
 
 
 def extraction_status(has_file: Column, failed: Column, candidates: Column, mentions: Column) -> Column:
@@ -133,3 +146,8 @@ def extraction_status(has_file: Column, failed: Column, candidates: Column, ment
 
 def fetch_status(present: Column, local: Column, downloaded: Column) -> Column:
     return F.when(present, "already_present").when(local, "missing_local_pdf").when(downloaded, "downloaded").otherwise("needs_manual_pdf")
+
+
+def status_counts(df: DataFrame, status: str) -> DataFrame:
+    """(status, n)."""
+    return df.groupBy(F.col(status).alias("status")).agg(F.count("*").alias("n"))

@@ -15,11 +15,12 @@ STATS = ("WAM", "WGM", "WEM", "WSD")
 
 
 def compositions(df: DataFrame, key: str, formula: str) -> DataFrame:
-    """(key, symbol, ratio): repeated symbols add up, a missing amount is 1, group multipliers don't count. Unknown symbols raise."""
-    text = F.translate(F.col(formula), "_-", "++")
+    """(key, symbol, ratio): repeated symbols add up, a missing amount is 1, group multipliers don't count. Unknown symbols and formulas without an element raise."""
+    text = F.translate(F.coalesce(F.col(formula), F.lit("")), "_-", "++")
     token = F.regexp_extract_all(text, F.lit(r"[A-Z][a-z]*\d*\.?\d*"), F.lit(0))
-    rows = df.select(F.col(key), F.explode(token).alias("t")).select(key, F.regexp_extract("t", r"^[A-Z][a-z]*", 0).alias("symbol"), F.regexp_extract("t", r"[0-9.]+$", 0).alias("n"))
-    known = F.col("symbol").isin(ELEMENTS)
+    some = F.when(F.size(token) > 0, token).otherwise(F.raise_error(F.concat(F.lit("no element in formula '"), F.coalesce(F.col(formula), F.lit("")), F.lit("'"))).cast("array<string>"))
+    rows = df.select(F.col(key), F.explode(some).alias("t")).select(key, F.regexp_extract("t", r"^[A-Z][a-z]*", 0).alias("symbol"), F.regexp_extract("t", r"[0-9.]+$", 0).alias("n"))
+    known = F.col("symbol").isin(list(ELEMENTS))
     rows = rows.select(key, F.when(known, F.col("symbol")).otherwise(F.raise_error(F.concat(F.lit("unknown element "), "symbol"))).alias("symbol"), F.when(F.col("n").isin("", "."), 1.0).otherwise(F.col("n").try_cast("double")).alias("n"))
     return rows.groupBy(key, "symbol").agg(F.sum("n").alias("ratio"))
 
@@ -33,11 +34,18 @@ def statistics(composition: DataFrame, properties: DataFrame, key: str) -> DataF
     """(key, descriptor_id, WAM, WGM, WEM, WSD) over the elements present.
 
     WAM divides by the sum of the properties, WSD's centre is the mean of ratio times property: legacy
-    definitions that are kept. One shuffle: the property table is of fixed size and broadcast.
+    definitions that are kept. A property that is missing or not finite counts as 0. One shuffle: the property table is of fixed size, that of
+    the elements, and broadcast as one array of (descriptor, value) a symbol.
     """
     v, r = F.col("value"), F.col("ratio")
-    rows = composition.filter("ratio != 0").join(F.broadcast(properties), "symbol")
-    some = (v != 0) & ~F.isnan(v) & v.isNotNull()
+    finite = F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v).otherwise(0.0)
+    known = properties.filter("value is not null").withColumn("value", finite)
+    wanted = known.select("descriptor_id").distinct()
+    symbols = known.select("symbol").unionByName(composition.sparkSession.createDataFrame([(s,) for s in ELEMENTS], "symbol string")).distinct()
+    full = symbols.crossJoin(F.broadcast(wanted)).join(known, ["symbol", "descriptor_id"], "left")  # elements by descriptors: a few thousand rows
+    own = full.groupBy("symbol").agg(F.collect_list(F.struct("descriptor_id", F.coalesce(v, F.lit(0.0)).alias("value"))).alias("own"))
+    rows = composition.filter("ratio != 0").join(F.broadcast(own), "symbol").select(key, "ratio", F.inline("own"))
+    some = v != 0
     one = rows.groupBy(key, "descriptor_id").agg(
         F.sum(F.when(some, r * v)).alias("rv"),
         F.sum(F.when(some, v)).alias("sv"),
@@ -94,38 +102,48 @@ def scaled(df: DataFrame, columns: list[str], params: DataFrame) -> DataFrame:
 
 
 def correlations(df: DataFrame, array: str) -> DataFrame:
-    """(i, j, r): absolute Pearson correlations of an array column's places; null where one is constant.
+    """(i, j, r): absolute Pearson correlations of an array column's places over the rows that have both; null where one is constant.
 
-    Tasks sum outer products of their rows, so only d * d sums a task are shuffled.
+    A first pass takes a mean of each place, a second sums products of what the values are above it, so large values don't
+    cancel out. NaN, infinite and missing values count as missing. Tasks sum outer products of their rows, so only d * d sums a task are shuffled.
     """
 
+    def filled(batch: pa.RecordBatch) -> np.ndarray:
+        rows = [[np.nan if v is None else v for v in r] for r in batch.column(0).to_pylist() if r is not None]
+        x = np.full((len(rows), max(map(len, rows), default=0)), np.nan)
+        for k, r in enumerate(rows):
+            x[k, : len(r)] = r
+        return np.where(np.isfinite(x), x, np.nan)
+
+    each = df.select(F.posexplode(array).alias("i", "x")).filter(~F.isnan("x") & (F.abs("x") < float("inf")))
+    centre = {r["i"]: r["m"] for r in each.groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("m")).collect()}
+
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """By pair of places, over the rows with both: their number, and the sums of x, x * x, y, y * y and x * y."""
         total = None
         for batch in batches:
-            x = np.array([r for r in batch.column(0).to_pylist() if r is not None], float)
-            if len(x):
-                x = np.concatenate([np.ones((len(x), 1)), x], 1)
-                total = x.T @ x if total is None else total + x.T @ x
+            x = filled(batch)
+            if not x.size:
+                continue
+            x = x - np.array([centre.get(k, 0.0) for k in range(x.shape[1])])
+            here = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x)
+            new = np.stack([here.T @ here, x.T @ here, (x * x).T @ here, here.T @ x, here.T @ (x * x), x.T @ x])
+            if total is not None and total.shape != new.shape:
+                size = max(total.shape[1], new.shape[1])
+                total, new = (np.pad(a, ((0, 0), (0, size - a.shape[1]), (0, size - a.shape[1]))) for a in (total, new))
+            total = new if total is None else total + new
         if total is not None:
-            i, j = np.indices(total.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(i.ravel()), pa.array(j.ravel()), pa.array(total.ravel())], ["i", "j", "s"])
-
-    sums = df.select(array).mapInArrow(summed, "i long, j long, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
-    n = F.max(F.when((F.col("i") == 0) & (F.col("j") == 0), F.col("s"))).over(_everything())
-    mean = sums.filter("i = 0 and j > 0").select("j", F.col("s").alias("m"))
-    own = sums.filter("i = j").select("j", F.col("s").alias("q"))
-    side = mean.join(own, "j")
-    rows = sums.withColumn("n", n).filter("i > 0 and j > 0").join(side.select(F.col("j").alias("i"), F.col("m").alias("mi"), F.col("q").alias("qi")), "i").join(side.select("j", F.col("m").alias("mj"), F.col("q").alias("qj")), "j")
-    c = F.col
-    spread = lambda x: F.greatest(c(f"q{x}") - c(f"m{x}") * c(f"m{x}") / c("n"), F.lit(0.0))
-    r = F.abs(F.try_divide(c("s") - c("mi") * c("mj") / c("n"), F.sqrt(spread("i") * spread("j"))))
-    return rows.select((c("i") - 1).alias("i"), (c("j") - 1).alias("j"), r.alias("r"))
+            i, j = np.indices(total.shape[1:])
+            yield pa.RecordBatch.from_arrays([pa.array(v.ravel()) for v in (i, j, *total)], ["i", "j", "n", "x", "xx", "y", "yy", "xy"])
 
-
-def _everything():  # noqa: ANN202
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(0))  # over d * d sums
+    sums = df.select(array).mapInArrow(summed, "i long, j long, n double, x double, xx double, y double, yy double, xy double").groupBy("i", "j").agg(*[F.sum(k).alias(k) for k in ("n", "x", "xx", "y", "yy", "xy")])
+    c = F.col
+    spread = lambda s, q: F.greatest(c(q) - c(s) * c(s) / c("n"), F.lit(0.0))
+    # What rounding leaves of a constant's spread is no spread.
+    real = lambda s, q: F.when(spread(s, q) > 1e-12 * c(q), spread(s, q)).otherwise(0.0)
+    r = F.abs(F.try_divide(c("xy") - c("x") * c("y") / c("n"), F.sqrt(real("x", "xx") * real("y", "yy"))))
+    return sums.filter("n > 0").select("i", "j", r.alias("r"))
 
 
 def finite_columns(df: DataFrame, columns: list[str]) -> list[str]:

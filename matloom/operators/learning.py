@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -26,6 +26,7 @@ class Config:
     features: int = 10
     cutoff: float = 0.95
     restarts: int = 20
+    trees: int = 100
 
 
 def expected_improvement(mean: Column, sd: Column, best: float | Column) -> Column:
@@ -97,8 +98,9 @@ class Process:
     @classmethod
     def _descended(cls, k: int, x: np.ndarray, t: np.ndarray, seed: int, steps: int) -> tuple[float, np.ndarray]:
         """The loss and parameters that start k reaches by projected gradient descent with adaptive steps."""
-        low, high = np.log([1e-3, 1e-5, *[1e-2] * x.shape[1]]), np.log([1e3, 1e1, *[1e2] * x.shape[1]])
-        theta = np.random.RandomState(seed + 1000 * k).uniform(low, high) if k else np.array([0.0, math.log(0.1), *[0.0] * x.shape[1]])
+        # The constant, the noise and the lengths: bounds of each; the first start is 1 for all, the others are drawn.
+        low, high = np.log([1e-3, 1e-5, *[1e-5] * x.shape[1]]), np.log([1e3, 1e5, *[1e5] * x.shape[1]])
+        theta = np.random.RandomState(seed + 1000 * k).uniform(low, high) if k else np.zeros(2 + x.shape[1])
         loss, grad = cls._loss(theta, x, t)
         rate = 0.1
         for _ in range(steps):
@@ -169,44 +171,196 @@ def importances(df: DataFrame, columns: list[str], target: str, seed: int = 2, t
     return [(columns[k], n) for k, n in sorted(splits.items(), key=lambda x: (-x[1], x[0]))]
 
 
+def split_counts(x: np.ndarray, y: np.ndarray, trees: int = 100, leaves: int = 31, least: int = 20, rate: float = 0.1) -> np.ndarray:
+    """How often boosted regression trees split on each column: rows that fit the driver.
+
+    Each tree grows by the leaf whose best split lowers the squared error most, up to `leaves` leaves of `least` rows each. NaN counts as less
+    than any number. Ties go to the first column and the least place.
+    """
+    counts, fitted = np.zeros(x.shape[1], int), np.full(len(y), y.mean())
+    order = np.argsort(np.where(np.isnan(x), -np.inf, x), axis=0, kind="stable")
+
+    def best(rows: np.ndarray, rest: np.ndarray) -> tuple[float, int, np.ndarray]:
+        """(gain, column, which rows go left) of a leaf."""
+        own = np.zeros(len(y), bool)
+        own[rows] = True
+        n = len(rows)
+        if n < 2 * least:
+            return 0.0, -1, own
+        sorted_rows = order.T[own[order.T]].reshape(x.shape[1], n)
+        sums = np.cumsum(rest[sorted_rows], axis=1)[:, :-1]
+        left = np.arange(1, n)
+        total = rest[rows].sum()
+        values = np.take_along_axis(np.where(np.isnan(x), -np.inf, x).T, sorted_rows, 1)
+        gain = sums**2 / left + (total - sums) ** 2 / (n - left) - total**2 / n
+        gain = np.where((left >= least) & (n - left >= least) & (values[:, 1:] > values[:, :-1]), gain, 0.0)
+        c, k = np.unravel_index(np.argmax(gain), gain.shape)
+        return float(gain[c, k]), int(c), sorted_rows[c, : k + 1]
+
+    for _ in range(trees):
+        rest = y - fitted
+        grown = [(best(np.arange(len(y)), rest), np.arange(len(y)))]
+        while len(grown) < leaves:
+            at = max(range(len(grown)), key=lambda k: grown[k][0][0])
+            (gain, column, left), rows = grown[at]
+            if gain <= 1e-12:
+                break
+            counts[column] += 1
+            right = np.setdiff1d(rows, left, assume_unique=True)
+            grown[at : at + 1] = [(best(left, rest), left), (best(right, rest), right)]
+        if len(grown) == 1:
+            break
+        for _, rows in grown:
+            fitted[rows] += rate * rest[rows].mean()
+    return counts
+
+
 def r2(y: np.ndarray, p: np.ndarray) -> float:
     return float(1 - ((y - p) ** 2).sum() / ((y - y.mean()) ** 2).sum())
 
 
-def learned(df: DataFrame, row_id: str, columns: list[str], target: str, config: Config = Config(), trees: int = 20) -> DataFrame:  # noqa: B008
-    """History (Iteration, Training_Size, Pool_Size, R2) of the loop until R2 settles or the pool is empty.
+def r2_of(df: DataFrame, y: Column, p: Column) -> DataFrame:
+    """One row, r2: 1 less the squared errors' share of the squared distances from the mean, which a first pass takes."""
+    mean = df.agg(F.avg(y).alias("_mean"))
+    return df.crossJoin(F.broadcast(mean)).agg((1 - F.try_divide(F.sum((y - p) ** 2), F.sum((y - F.col("_mean")) ** 2))).alias("r2"))
+
+
+def settling(df: DataFrame, group: str, order: str, score: str, patience: int = 2, threshold: float = 0.01) -> DataFrame:
+    """df with spread, the range of the last `patience` scores of a group, and settled: whether there are so many and it is under the threshold."""
+    from pyspark.sql import Window as W
+
+    last = W.partitionBy(group).orderBy(order).rowsBetween(1 - patience, 0)
+    spread = F.max(score).over(last) - F.min(score).over(last)
+    return df.withColumns({"spread": spread, "settled": (F.count(score).over(last) == patience) & (spread < threshold)})
 
-    Rows are those of a labelled experiment table, which a person measured: they fit the driver, where fitting
-    and the sequential choice run; importances and large pools' scores are Spark jobs.
+
+def normalized(raw: np.ndarray) -> np.ndarray:
+    """Shares of the sum; alike for all where that isn't positive."""
+    return raw / raw.sum() if raw.sum() > 0 else np.full(len(raw), 1 / max(1, len(raw)))
+
+
+def require(df: DataFrame, columns: list[str]) -> None:
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise KeyError(f"missing columns: {missing}")
+
+
+def validated(df: DataFrame, columns: list[str], target: str, config: Config = Config()) -> None:  # noqa: B008
+    """Raises for missing columns, infinite features (NaN may be), targets that aren't finite, and too few rows."""
+    require(df, [*columns, target])
+    infinite = lambda c: F.coalesce(F.abs(F.col(c)) == float("inf"), F.lit(False))
+    bad_y = F.col(target).isNull() | F.isnan(target) | infinite(target)
+    told = df.agg(F.count("*").alias("n"), F.count_if(bad_y).alias("y"), *[F.count_if(infinite(c)).alias(f"x{k}") for k, c in enumerate(columns)]).first()
+    wrong = [c for k, c in enumerate(columns) if told[f"x{k}"]]
+    if wrong:
+        raise ValueError(f"infinite values in {wrong[:20]}")
+    if told["y"]:
+        raise ValueError(f"{told['y']} target values aren't finite")
+    if told["n"] <= config.initial + config.test:
+        raise ValueError(f"more than {config.initial + config.test} rows are needed, there are {told['n']}")
+
+
+@dataclass
+class Learned:
+    """What a run leaves: tables of rows a round, and the last round's model with its features, scaling and best training value."""
+
+    history: list[tuple] = field(default_factory=list)  # Iteration, Training_Size, Pool_Size, R2
+    selected: list[tuple] = field(default_factory=list)  # Iteration, Rank, Feature_Name, LGB_Raw_Importance, Normalized_Weight
+    parity: list[tuple] = field(default_factory=list)  # Iteration, row id, y_true, y_pred, residual
+    roles: list[tuple] = field(default_factory=list)  # row id, role, Iteration of its acquisition or 0
+    correlations: list[tuple] = field(default_factory=list)  # Iteration, feature, other feature, r: of the selected ones
+    process: Process | None = None
+    features: list[str] = field(default_factory=list)
+    mean: np.ndarray | None = None
+    width: np.ndarray | None = None
+    best: float = 0.0
+
+    def tables(self, spark: SparkSession, config: Config = Config()) -> dict[str, DataFrame]:  # noqa: B008
+        last = self.history[-1]
+        final = [(name, raw, weight, 100 * weight) for i, _, name, raw, weight in self.selected if i == last[0]]
+        parity = "Iteration int, row_id long, y_true double, y_pred double, residual double"
+        return {
+            "history": spark.createDataFrame(self.history, "Iteration int, Training_Size int, Pool_Size int, R2 double"),
+            "selected_features": spark.createDataFrame(self.selected, "Iteration int, Rank int, Feature_Name string, LGB_Raw_Importance long, Normalized_Weight double"),
+            "feature_summary": spark.createDataFrame(final, "Feature_Name string, LGB_Raw_Importance long, Normalized_Weight double, Contribution_Percentage double"),
+            "parity": spark.createDataFrame(self.parity, parity),
+            "correlations": spark.createDataFrame(self.correlations, "Iteration int, feature string, other string, r double"),
+            "roles": spark.createDataFrame(self.roles, "row_id long, role string, acquired_iter int"),
+            "summary": spark.createDataFrame([(last[0], last[3], config.initial, config.test, config.acquired, config.features)], "Total_Iterations int, Final_Converged_R2 double, Initial_Training_Size int, Fixed_Test_Size int, Selected_Per_Iteration int, Top_Features int"),
+        }
+
+
+def learned(df: DataFrame, row_id: str, columns: list[str], target: str, config: Config = Config()) -> Learned:  # noqa: B008
+    """Rounds of selecting features, fitting, scoring on the test rows and acquiring by Expected Improvement until R2 settles or the pool is empty.
+
+    Rows are those of a labelled experiment table, which a person measured: they fit the driver, where the sequential choice runs; the
+    starts of a fit are Spark tasks.
     """
-    from .features import finite_columns, greedy
+    from .features import greedy
 
     spark = df.sparkSession
+    validated(df, columns, target, config)
     data = df.select(row_id, *columns, target).orderBy(row_id).toPandas()
-    role = np.array(split_roles(len(data), config))
-    y, history = data[target].to_numpy(float), []
+    role = np.array(split_roles(len(data), config), object)
+    acquired = np.zeros(len(data), int)
+    ids, y, out = data[row_id].tolist(), data[target].to_numpy(float), Learned()
     while True:
-        train = data[role == "train"]
-        usable = finite_columns(spark.createDataFrame(train), columns)
-        ranked = [f for f, _ in importances(spark.createDataFrame(train), usable, target, config.seed, trees)]
-        corr = np.abs(np.nan_to_num(np.corrcoef(train[usable].to_numpy(float).T), nan=1.0))
-        chosen = greedy(ranked, {(a, b): corr[i, j] for i, a in enumerate(usable) for j, b in enumerate(usable)}, config.features, config.cutoff)
+        number, train = len(out.history) + 1, role == "train"
+        x = data[columns].to_numpy(float)
+        usable = np.flatnonzero(np.isfinite(x[train]).all(0))
+        counts = split_counts(x[train][:, usable], y[train], config.trees)
+        ranked = [columns[usable[k]] for k in np.lexsort((usable, -counts))]
+        raw = dict(zip((columns[k] for k in usable), counts.tolist(), strict=True))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            corr = np.abs(np.atleast_2d(np.corrcoef(x[train][:, usable].T)))
+        place = {columns[k]: i for i, k in enumerate(usable)}
+        r = {(a, b): (None if np.isnan(corr[place[a], place[b]]) else float(corr[place[a], place[b]])) for a in place for b in place}
+        chosen = greedy(ranked, r, config.features, config.cutoff)
+        weights = normalized(np.array([raw[f] for f in chosen], float))
+        out.selected += [(number, k, f, raw[f], float(w)) for k, (f, w) in enumerate(zip(chosen, weights, strict=True), 1)]
+        out.correlations += [(number, a, b, r[a, b]) for a in chosen for b in chosen]
         x = data[chosen].to_numpy(float)
-        mean, width = x[role == "train"].mean(0), x[role == "train"].std(0)
-        x = (x - mean) / np.where(width > 0, width, 1)
-        process = Process.fit(x[role == "train"], y[role == "train"], config.restarts, config.seed, spark=spark)
-        score = r2(y[role == "test"], process.predict(x[role == "test"])[0])
-        pool = np.flatnonzero(role == "pool")
-        history.append((len(history) + 1, int((role == "train").sum()), len(pool), score))
-        last = [h[3] for h in history[-config.patience :]]
+        mean, width = x[train].mean(0), x[train].std(0)
+        width = np.where(width > 0, width, 1)
+        x = (x - mean) / width
+        process = Process.fit(x[train], y[train], config.restarts, config.seed, spark=spark)
+        test, pool = np.flatnonzero(role == "test"), np.flatnonzero(role == "pool")
+        told = process.predict(x[test])[0]
+        score = r2(y[test], told)
+        out.parity += [(number, int(ids[k]), float(y[k]), float(p), float(y[k] - p)) for k, p in zip(test, told, strict=True)]
+        out.history.append((number, int(train.sum()), len(pool), score))
+        out.process, out.features, out.mean, out.width, out.best = process, chosen, mean, width, float(y[train].max())
+        last = [h[3] for h in out.history[-config.patience :]]
         if not len(pool) or (len(last) == config.patience and max(last) - min(last) < config.threshold):
             break
         mu, sigma = process.predict(x[pool])
-        best, s = y[role == "train"].max(), np.maximum(sigma, 1e-9)
-        z = (mu - best) / s
-        ei = (mu - best) * np.array([0.5 * (1 + math.erf(v / math.sqrt(2))) for v in z]) + s * np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
-        role[pool[np.lexsort((pool, ei))[::-1][: config.acquired]]] = "train"
-    return spark.createDataFrame(history, "Iteration int, Training_Size int, Pool_Size int, R2 double")
+        s = np.maximum(sigma, 1e-9)
+        z = (mu - out.best) / s
+        ei = (mu - out.best) * np.array([0.5 * (1 + math.erf(v / math.sqrt(2))) for v in z]) + s * np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+        new = pool[np.lexsort((pool, ei))[::-1][: config.acquired]]
+        role[new], acquired[new] = "train", number
+    out.roles = [(int(i), str(k), int(a)) for i, k, a in zip(ids, role, acquired, strict=True)]
+    return out
+
+
+def screened(candidates: DataFrame, model: Learned) -> DataFrame:
+    """candidates with Predicted_Mobility, Uncertainty and EI_Score by the last round's features, scaling and process; the features must be there."""
+    require(candidates, model.features)
+    own = [c for c in candidates.columns if c not in ("mu", "sigma", "Predicted_Mobility", "Uncertainty", "EI_Score")]
+    out = predicted(candidates.select(*own), model.process, model.features, model.mean, model.width)
+    score = expected_improvement(F.col("mu"), F.col("sigma"), model.best)
+    return out.select(*own, F.col("mu").alias("Predicted_Mobility"), F.col("sigma").alias("Uncertainty"), score.alias("EI_Score"))
+
+
+def rankings(scored: DataFrame, element: str = "Dopant_Element", hosts: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(by composition, by dopant) of screened candidates: means by the element column, best EI first, and by its one element that is no host, best prediction first."""
+    from .features import single_dopant
+
+    named = ("Predicted_Mobility", "EI_Score", "Uncertainty")
+    by = ranking(scored, element, "avg_ei", *named).toDF(element, "Avg_Pred_Mobility", "Avg_EI", "Avg_Uncertainty", "Sample_Count")
+    kinds = scored.withColumn("Dopant_Element_Type", single_dopant(F.col(element), hosts or ["Bi", "Te"]))
+    dopant = ranking(kinds, "Dopant_Element_Type", "avg_mean", *named).toDF("Dopant_Element_Type", "Average_Predicted_Mobility", "Average_EI", "Average_Uncertainty", "Sample_Count")
+    return by, dopant
 
 
 def ranking(df: DataFrame, group: str, by: str, mean: str = "mu", ei: str = "ei", sigma: str = "sigma") -> DataFrame:

@@ -10,13 +10,12 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import elements as E
 from ..functions import text as X
+from ..operators import agent, extract, features, learning
 from ..operators import dataset as D
-from ..operators import extract, features, learning
 from ..session import table
 
 _FOUND: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,10 +111,22 @@ def temperature_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(out, *[c for c in out.columns if c != "p_partkey"])
 
 
-@query()
+_DESCRIBED = (5, 6, 21, 29)
+
+
+@query(
+    f"WITH {_STATS} SELECT p_partkey, "
+    + ", ".join(
+        (f"round(max({x}) FILTER (d = {d}), {DIGITS}) AS T{d:02d}{s:02d}, round(max({x} * kelvin) FILTER (d = {d}), {DIGITS}) AS T{d:02d}{s + 4:02d}" if d in _DESCRIBED else f"0.0::DOUBLE AS T{d:02d}{s:02d}, 0.0::DOUBLE AS T{d:02d}{s + 4:02d}")
+        for d in range(1, len(E.DESCRIPTORS) + 1)
+        for s, x in enumerate(features.STATS, 1)
+    )
+    + " FROM stats JOIN parts USING (p_partkey) GROUP BY p_partkey"
+)
 def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = _parts(spark, sf_dir)
-    return features.wide(parts, features.statistics(features.compositions(parts, "p_partkey", "formula"), E.properties(spark), "p_partkey"), "p_partkey", "kelvin")
+    out = features.wide(parts, features.statistics(features.compositions(parts, "p_partkey", "formula"), E.properties(spark), "p_partkey"), "p_partkey", "kelvin")
+    return out.select("p_partkey", *[F.round(c, DIGITS).alias(c) for c in out.columns if c != "p_partkey"])
 
 
 _SCALED = ("l_quantity", "l_extendedprice", "constant")
@@ -216,10 +227,7 @@ def dopant_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH m AS (SELECT avg(l_extendedprice) AS y FROM lineitem) SELECT round(1 - sum((l_extendedprice - 1500 * l_quantity) ^ 2) / sum((l_extendedprice - y) ^ 2), {DIGITS}) AS r2 FROM lineitem, m")
 def r2_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_quantity")
-    y = F.col("l_extendedprice")
-    mean = df.agg(F.avg(y).alias("y"))
-    both = df.join(F.broadcast(mean))
-    return both.agg(F.round(1 - F.sum((y - 1500 * F.col("l_quantity")) ** 2) / F.sum((y - F.col("y")) ** 2), DIGITS).alias("r2"))
+    return learning.r2_of(df, F.col("l_extendedprice"), 1500 * F.col("l_quantity")).select(F.round("r2", DIGITS).alias("r2"))
 
 
 _WEEK = "date_trunc('week', ts)"
@@ -228,14 +236,12 @@ _WEEK = "date_trunc('week', ts)"
 @query(f"WITH w AS (SELECT event_type, {_WEEK}::DATE AS week, round(avg(value), {DIGITS}) AS r2 FROM events GROUP BY ALL) SELECT event_type, week, round(max(r2) OVER o - min(r2) OVER o, {DIGITS}) AS spread, count(*) OVER o = 2 AND max(r2) OVER o - min(r2) OVER o < 5 AS settled FROM w WINDOW o AS (PARTITION BY event_type ORDER BY week ROWS 1 PRECEDING)")
 def convergence_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     weeks = table(spark, sf_dir, "events").groupBy("event_type", F.expr(_WEEK).cast("date").alias("week")).agg(F.round(F.avg("value"), DIGITS).alias("r2"))
-    o = W.partitionBy("event_type").orderBy("week").rowsBetween(-1, 0)
-    spread = F.max("r2").over(o) - F.min("r2").over(o)
-    return weeks.select("event_type", "week", F.round(spread, DIGITS).alias("spread"), ((F.count("*").over(o) == 2) & (spread < 5)).alias("settled"))
+    return learning.settling(weeks, "event_type", "week", "r2", threshold=5).select("event_type", "week", F.round("spread", DIGITS).alias("spread"), "settled")
 
 
 @query("SELECT event_type AS status, count(*) AS n FROM events GROUP BY event_type")
 def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("n"))
+    return D.status_counts(table(spark, sf_dir, "events"), "event_type")
 
 
 _CANDIDATE = "SELECT cast(l_orderkey % 50 as varchar(20)) AS source_id, concat('Bi', cast(l_suppkey % 7 as varchar(9)), ' Te3') AS Crystal_structure, cast(250 + l_linenumber as varchar(9)) AS temperature, cast(l_partkey % 11 as varchar(9)) AS N_type_carrier, cast(l_linenumber as varchar(9)) AS page, cast(l_quantity / 100 as double) AS confidence, l_orderkey * 10 + l_linenumber AS seq, concat('c', cast(l_orderkey as varchar(20)), '-', cast(l_linenumber as varchar(9))) AS candidate_id FROM lineitem"
@@ -386,27 +392,130 @@ _ALIAS_ROWS = ", ".join(f"('{f}', '{a}', {i})" for i, (f, a) in enumerate((f, a)
 
 @query(f"WITH a(field, alias, pos) AS (VALUES {_ALIAS_ROWS}) SELECT p_partkey, (SELECT field FROM a WHERE contains(lower(p_type), alias) ORDER BY length(alias) DESC, pos LIMIT 1) AS field FROM part")
 def header_alias_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    aliases = [(f, a) for f, words in _ALIASES.items() for a in words]
-    head = X.normalized_header(F.col("p_type"))
-    hits = F.array_compact(F.array(*[F.when(F.contains(head, F.lit(a)), F.struct(F.lit(len(a)).alias("n"), F.lit(-i).alias("p"), F.lit(f).alias("f"))) for i, (f, a) in enumerate(aliases)]))
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_max(hits)["f"].alias("field"))
+    return table(spark, sf_dir, "part").select("p_partkey", extract.field_of(F.col("p_type"), _ALIASES).alias("field"))
+
+
+@query("SELECT p_partkey, CAST(CASE p_partkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 0 ELSE 3 END AS BIGINT) AS mentions FROM part")
+def keyword_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = ("Mobility and immobility", "mu_H rose", "the mute museum", "MU-h, mobility and mu")
+    text = F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", X.mention_count(text).alias("mentions"))
+
+
+# Documents of each part, that the generators read: the formula, the temperature and the mobility follow from its key and size.
+_NUMBERED = "concat('Bi2Te', cast(p_size as varchar(9)))"
+_SCHEMA = {
+    "column_aliases": {"Crystal_structure": ["composition"], "temperature": ["temperature (k)", "temperature"], "N_type_carrier": ["hall mobility", "mobility"]},
+    "validation": {"required_elements": ["Bi", "Te"], "temperature_K": [0, 300]},
+}
+
+
+def _pages(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    return table(spark, sf_dir, "part").selectExpr("cast(p_partkey as string) AS source_id", "'' AS doi", "'' AS title", "1 AS page", f"{text} AS text")
+
+
+_OWN = ("Crystal_structure", "temperature", "N_type_carrier", "mobility_original_value", "mobility_original_unit", "evidence_type", "evidence", "confidence", "validation_notes", "candidate_id")
+
+
+def _told(df: DataFrame) -> DataFrame:
+    return df.select(F.col("source_id").cast("long").alias("p_partkey"), *_OWN)
+
+
+def _candidate_sql(rows: str, notes: str) -> str:
+    """rows: p_partkey, page and the candidate's own columns but for the notes, as Crystal_structure to confidence."""
+    return f"""WITH c AS ({rows}) SELECT p_partkey, {", ".join(_OWN[:-2])}, {notes} AS validation_notes,
+  substr(sha256(concat_ws('|', p_partkey, '1', Crystal_structure, temperature, N_type_carrier, evidence_type, evidence)), 1, 16) AS candidate_id FROM c"""
+
+
+_CODES = "categorical mapping disabled pending scientific confirmation"
+_MISSING = "Crystal_form missing; Direction missing"
+_WARM = "CASE WHEN TRY_CAST(temperature AS DOUBLE) > 300 THEN 'temperature outside configured range; ' ELSE '' END"
+
+
+@query(
+    _candidate_sql(
+        f"SELECT p_partkey, {_NUMBERED} AS Crystal_structure, CAST(250 + p_size AS VARCHAR) AS temperature, concat(p_size, '.5') AS N_type_carrier, concat(p_size, '.5') AS mobility_original_value, 'cm2 V-1 s-1 at '||(250 + p_size)||' K in '||{_NUMBERED} AS mobility_original_unit, 'text' AS evidence_type, 'The Hall mobility was '||p_size||'.5 cm2 V-1 s-1 at '||(250 + p_size)||' K in '||{_NUMBERED}||'.' AS evidence, '0.68' AS confidence FROM part",
+        f"concat('{_CODES}; ', {_WARM}, '{_MISSING}')",
+    )
+)
+def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = f"concat('Nothing here. The Hall mobility was ', cast(p_size as string), '.5 cm2 V-1 s-1 at ', cast(250 + p_size as string), ' K in ', {_NUMBERED}, '. Mobility is high.')"
+    return _told(extract.text_candidates(_pages(spark, sf_dir, text), _SCHEMA))
 
 
-@query("WITH w AS (SELECT conv_id, turn, string_split(text, ' ') AS a, string_split(replace(text, ',', ' ,'), ' ') AS b FROM conversations), z AS (SELECT conv_id, turn, unnest(range(0, len(a))) AS place, a, b FROM w WHERE len(a) = len(b)) SELECT conv_id, turn, CAST(place AS INT) AS place, a[place + 1] AS word, b[place + 1] AS part FROM z")
+@query(
+    _candidate_sql(
+        f"SELECT p_partkey, CASE k WHEN 0 THEN {_NUMBERED} ELSE 'Bi1.9Te3' END AS Crystal_structure, '' AS temperature, CASE k WHEN 0 THEN p_size||'.3' ELSE '56.4' END AS N_type_carrier, CASE k WHEN 0 THEN p_size||'.3' ELSE '56.4' END AS mobility_original_value, 'cm2/(V s' AS mobility_original_unit, 'parallel_text_list' AS evidence_type, 'carrier concentration and mobility were 1.2, 1.3 (10^19 cm-3) and '||p_size||'.3, 56.4 (cm2/(V s)) for '||{_NUMBERED}||', Bi1.9Te3, respectively' AS evidence, '0.78' AS confidence FROM part, (VALUES (0), (1)) AS t(k) WHERE p_partkey % 3 > 0",
+        f"'{_CODES}; temperature missing; {_MISSING}'",
+    )
+)
 def parallel_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.split("text", " ").alias("a"), F.split(F.replace("text", F.lit(","), F.lit(" ,")), " ").alias("b"))
-    return df.filter(F.size("a") == F.size("b")).select("conv_id", "turn", F.posexplode(F.arrays_zip("a", "b")).alias("place", "z")).select("conv_id", "turn", "place", F.col("z.a").alias("word"), F.col("z.b").alias("part"))
+    """Lists of one length are paired by place; where p_partkey % 3 = 0 a value is lacking and there are none."""
+    text = f"concat('The carrier concentration and mobility were 1.2, 1.3 (10^19 cm-3) and ', cast(p_size as string), '.3, 56.4', CASE WHEN p_partkey % 3 = 0 THEN ', 7' ELSE '' END, ' (cm2/(V s)) for ', {_NUMBERED}, ', Bi1.9Te3, respectively.')"
+    return _told(extract.paired_candidates(_pages(spark, sf_dir, text), _SCHEMA))
 
 
-@query("SELECT doc_id, CAST(len(regexp_extract_all(lower(text), 'the|una')) AS BIGINT) AS mentions FROM documents")
-def keyword_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_count(F.lower("text"), F.lit("the|una")).cast("long").alias("mentions"))
+@query(
+    _candidate_sql(
+        f"SELECT p_partkey, {_NUMBERED} AS Crystal_structure, '300' AS temperature, CAST(p_size * 100 AS VARCHAR) AS N_type_carrier, CAST(p_size AS VARCHAR) AS mobility_original_value, 'Mobility (10^-2 m2 V-1 s-1)' AS mobility_original_unit, 'table_text' AS evidence_type, 'Mobility (10^-2 m2 V-1 s-1) | '||{_NUMBERED}||' | DNA note | 1000 | 2e19 | '||p_size AS evidence, '0.82' AS confidence FROM part",
+        f"'{extract.RECOVERED}; {_CODES}; {_MISSING}'",
+    )
+)
+def vertical_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = f"concat('Data at 300 K\\nSample\\nMobility (10^-2 m2 V-1 s-1)\\n', {_NUMBERED}, '\\nDNA note\\n1000\\n2e19\\n', cast(p_size as string), '\\n120\\nBi2Te3\\n1\\n2')"
+    return _told(extract.vertical_candidates(_pages(spark, sf_dir, text), _SCHEMA))
 
 
-@query()
-def keyword_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_id"), F.lit("1").alias("page"), "text")
-    return extract.text_candidates(pages, {})
+_CELLS = "<tr><th>Composition</th><th>Temperature (K)</th><noscript><td>no</td></noscript><th>Hall mobility (cm2 V-1 s-1)</th></tr>"
+
+
+def _papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed papers: with a table and two rows, without a mention, with a mention alone, or not readable."""
+    page = f"concat('<title>T</title><p>Sample</p><table>{_CELLS}<tr><td>', {_NUMBERED}, '</td><td>', cast(250 + p_size as string), '</td><td>', cast(p_size as string), '</td></tr><tr><td>', {_NUMBERED}, '</td><td>', cast(250 + p_size as string), '.0</td><td>n/a</td></tr></table>')"
+    html = f"CASE p_partkey % 4 WHEN 0 THEN {page} WHEN 1 THEN '<p>Grain size alone, and immobility</p>' WHEN 2 THEN '<p>Carrier mobility is discussed</p>' END"
+    rows = table(spark, sf_dir, "part").selectExpr("cast(p_partkey as bigint) AS paper_no", "concat('p', p_partkey) AS value", f"{html} AS html")
+    parsed = extract.parsed_html(rows.filter("html is not null"), "paper_no", "html")
+    numbered = F.transform("tables", lambda r, i: F.struct(F.concat(F.lit("html:"), i + 1).alias("table_number"), r.alias("rows")))
+    return rows.join(parsed, "paper_no", "left").select(
+        "paper_no", "value", F.col("value").alias("source_id"), F.lit("").alias("doi"), F.lit("").alias("title"), F.lit("").alias("notes"), F.col("value").alias("stable_id"), F.lit("html").alias("kind"),
+        F.coalesce(F.array("text"), F.array().cast("array<string>")).alias("pages"), F.coalesce(numbered, F.array().cast("array<struct<table_number:string,rows:array<array<string>>>>")).alias("tables"), F.when(F.col("html").isNull(), "no such file").otherwise("").alias("error"),
+    )
+
+
+def _base(spark: SparkSession) -> DataFrame:
+    rows = [("Bi2 Te7", "257", "7", "", ""), ("Bi2Te9", "259.0", "9", "", "")]
+    return spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], ", ".join(f"{c} string" for c in D.DATASET) + ", seq long")
+
+
+@query(
+    """SELECT p_partkey AS paper_no, CASE p_partkey % 4 WHEN 0 THEN 'candidates_extracted' WHEN 1 THEN 'not_relevant' WHEN 2 THEN 'mention_without_extractable_values' ELSE 'error' END AS status,
+  CASE p_partkey % 4 WHEN 0 THEN 'sample-level mobility candidates found' WHEN 1 THEN 'no mobility or carrier-transport target mention' WHEN 2 THEN 'mobility is discussed but no numeric sample-level value was extracted' ELSE 'no such file' END AS reason,
+  CAST(p_partkey % 4 = 0 AS BIGINT) AS candidate_count FROM part"""
+)
+def agent_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agent.agent_run(_papers(spark, sf_dir), _base(spark), _SCHEMA).papers.select("paper_no", "status", "reason", "candidate_count")
+
+
+@query(
+    f"""WITH c AS (SELECT p_partkey AS paper_no, {_NUMBERED} AS formula, 250 + p_size AS kelvin, p_size, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS k FROM part WHERE p_partkey % 4 = 0)
+SELECT paper_no, formula AS Crystal_structure, CAST(kelvin AS VARCHAR) AS temperature, CAST(p_size AS VARCHAR) AS N_type_carrier, 'html:1' AS table_number, formula||' | '||kelvin||' | '||p_size AS source_text, 'table' AS extraction_method, '0.87' AS confidence, k = 1 AND p_size <> 7 AS merged FROM c"""
+)
+def agent_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = agent.agent_run(_papers(spark, sf_dir), _base(spark), _SCHEMA).provenance
+    return found.select("paper_no", *[F.col(f"dataset_row.{c}").alias(c) for c in D.DATASET[:3]], "table_number", "source_text", "extraction_method", "confidence", "merged")
+
+
+@query("SELECT p_partkey AS source_no, CASE WHEN p_partkey % 4 = 3 THEN 'missing_pdf' WHEN p_partkey % 4 = 0 THEN 'candidates_extracted' WHEN p_partkey % 4 = 2 THEN 'manual_digitization_required' ELSE 'no_target_mention' END AS status, CASE p_partkey % 4 WHEN 0 THEN '1' ELSE '0' END AS candidate_count, CASE p_partkey % 4 WHEN 3 THEN '0' ELSE '1' END AS pages, CASE p_partkey % 4 WHEN 2 THEN 'p'||p_partkey||'_page_1.png' ELSE '' END AS review_images FROM part WHERE p_partkey % 5 > 0 AND p_partkey <= 1000")
+def extraction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    papers = _papers(spark, sf_dir)
+    # `immobility` mentions a mobility here, as in the reference's count; it gets another text.
+    texts = F.when(F.col("paper_no") % 4 == 1, F.array(F.lit("Grain size alone"))).otherwise(F.col("pages"))
+    sources = papers.select(F.col("paper_no").alias("source_no"), "source_id", "doi", "title", F.lit("").alias("local_pdf"), (F.col("paper_no") % 5 > 0).alias("enabled"))
+    pages = papers.filter("error = ''").select("source_id", F.posexplode(texts).alias("page", "text")).withColumn("page", F.col("page") + 1)
+    tables = papers.select("source_id", F.explode("tables").alias("t")).select("source_id", F.lit(1).alias("page"), "t.table_number", "t.rows")
+    first = table(spark, sf_dir, "part").filter("p_partkey % 5 > 0 and p_partkey <= 1000").count()
+    _, report, _ = agent.extraction_run(sources, pages, tables, _SCHEMA, limit=first)
+    return report.select("source_no", "status", "candidate_count", "pages", "review_images")
 
 
 @query("SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title FROM pages")
@@ -419,19 +528,32 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.parsed_html(table(spark, sf_dir, "pages"), "page_id", "html").select("page_id", "text")
 
 
-@query()
+@query(f"SELECT p_partkey, CAST(CASE WHEN p_partkey % 4 = 0 THEN 1 ELSE 0 END AS INT) AS n_tables, CASE WHEN p_partkey % 4 = 0 THEN 'Composition|Temperature (K)|Hall mobility (cm2 V-1 s-1)/'||{_NUMBERED}||'|'||(250 + p_size)||'|'||p_size||'/'||{_NUMBERED}||'|'||(250 + p_size)||'.0|n/a' ELSE '' END AS cells FROM part")
 def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.parsed_html(table(spark, sf_dir, "pages"), "page_id", "html").select("page_id", F.size("tables").alias("n_tables"))
+    rows = F.flatten(F.transform("tables", lambda t: t["rows"]))
+    return _papers(spark, sf_dir).select(F.col("paper_no").alias("p_partkey"), F.size("tables").alias("n_tables"), F.array_join(F.transform(rows, lambda r: F.array_join(r, "|")), "/").alias("cells"))
+
+
+# Links of each kind with what is wrong with it.
+_LINKS = (
+    ("https://example.org/a.pdf", None), ("ftp://example.org/", "unsupported scheme"), ("http://user:pw@example.org/", "credentials in URL"), ("http://localhost/", "non-public destination"), ("http://127.0.0.1/a", "non-public destination"),
+    ("http://198.51.100.7/", "non-public destination"), ("https://host.local/x", "non-public destination"), ("http://8.8.8.8/", None), ("http://172.32.0.1/", None), ("http://172.31.0.1/", "non-public destination"), ("http://203.0.113.9/", "non-public destination"),
+)
 
 
-@query("SELECT page_id, CASE WHEN NOT regexp_matches(lower(url), '^https?://') THEN 'unsupported scheme' END AS problem FROM pages")
+@query(f"SELECT p_partkey, CASE p_partkey % {len(_LINKS)} " + " ".join(f"WHEN {k} THEN {repr(w) if w else 'NULL'}" for k, (_, w) in enumerate(_LINKS)) + " END AS problem FROM part")
 def safe_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", X.url_problem(F.col("url")).alias("problem"))
+    url = F.element_at(F.array(*[F.lit(u) for u, _ in _LINKS]), (F.col("p_partkey") % len(_LINKS) + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", X.url_problem(url).alias("problem"))
 
 
-@query("SELECT doc_id, regexp_matches(lower(text), 'mobility') OR contains(lower(text), 'carrier concentration') AS relevant FROM documents")
+@query("""WITH t AS (SELECT p_partkey, p_partkey % 5 AS k, p_size % 3 AS n FROM part), s AS (SELECT *, CASE WHEN k IN (0, 3) THEN 'not_relevant' WHEN n = 0 THEN 'mention_without_extractable_values' ELSE 'candidates_extracted' END AS status FROM t)
+SELECT p_partkey, status, status = 'candidates_extracted' AS relevant, CAST(CASE WHEN status = 'candidates_extracted' THEN n ELSE 0 END AS BIGINT) AS candidate_count FROM s""")
 def judge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", D.judged(F.col("text"), F.lit(0))["relevant"].alias("relevant"))
+    texts = ("grains of immobility and bare mu", "Carrier  concentration fell", "the Hall mobility", "mutable mobilities", "µ_H at 300 K")
+    text = F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("p_partkey") % len(texts) + 1).cast("int"))
+    d = D.judged(text, F.col("p_size") % 3)
+    return table(spark, sf_dir, "part").select("p_partkey", d["status"].alias("status"), d["relevant"].alias("relevant"), d["candidate_count"].alias("candidate_count"))
 
 
 @query()
@@ -446,17 +568,25 @@ def _vectors(spark: SparkSession, sf_dir: str, n: int = 12) -> DataFrame:
 
 @query()
 def gp_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = [f"x{k}" for k in range(6)]
-    df = _vectors(spark, sf_dir)
+    columns = [f"x{k}" for k in range(64)]
+    df = _vectors(spark, sf_dir, 64)
     # The fit takes a bounded sample of labelled rows, in the order of a hash; all rows are scored.
     train = df.orderBy(F.xxhash64("vec_id"), "vec_id").limit(GP_ROWS).toPandas()
     x, y = train[columns].to_numpy(), train["y"].to_numpy()
     mean, width = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1)
-    process = learning.Process.fit((x - mean) / width, y, restarts=2, spark=spark)
+    process = learning.Process.fit((x - mean) / width, y, spark=spark)
     return learning.predicted(df.select("vec_id", *columns), process, columns, mean, width).select("vec_id", "mu", "sigma")
 
 
 @query()
 def active_learning_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    config = learning.Config(initial=40, test=40, acquired=200, features=4, restarts=1)
-    return learning.learned(_vectors(spark, sf_dir, 8),"vec_id", [f"x{k}" for k in range(8)], "y", config, trees=2)
+    run = learning.learned(_vectors(spark, sf_dir, 64), "vec_id", [f"x{k}" for k in range(64)], "y")
+    return run.tables(spark)["history"]
+
+
+@query()
+def candidate_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as a candidate, scored by the last round of a run over all vectors."""
+    vectors = _vectors(spark, sf_dir, 64)
+    run = learning.learned(vectors, "vec_id", [f"x{k}" for k in range(64)], "y")
+    return learning.screened(vectors, run).select("vec_id", "Predicted_Mobility", "Uncertainty", "EI_Score")

@@ -42,28 +42,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one only where it is unset."""
+    """The folder named in spark.checkpoint.dir, or the one set for checkpoints; a machine's own folder only where neither is set and the session is local."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         jsc = spark.sparkContext._jsc.sc()
         known = jsc.getCheckpointDir()
         folder = known.get() if known.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="matloom-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def removed_at_end(spark: SparkSession, path: str) -> str:
+    """The path, which goes when the driver ends."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
+#: Shuffle files of a job go when it ends: once its table is written, nothing reads them.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cuts the lineage: df as a Parquet table in the shared folder, read again.
 
-    The table goes when the driver ends; a lost executor costs nothing of it.
+    The table goes when the driver ends; a lost executor costs nothing of it. The shuffle files behind it go at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/matloom-{label}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(schema).parquet(path)
+    schema, before = df.schema, spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(schema).parquet(removed_at_end(spark, path))

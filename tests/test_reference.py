@@ -1,12 +1,17 @@
 """The literal cases, edge cases and invariants of the engine's own operators."""
 
+import hashlib
+import json
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from matloom.functions import elements as E
 from matloom.functions import text as X
-from matloom.operators import dataset, extract, features, learning
+from matloom.operators import agent, dataset, extract, features, learning
+from matloom.sources import tables
 
 
 def one(spark, column):
@@ -36,21 +41,66 @@ def test_number_format(spark, value):
 SCHEMA = {"column_aliases": {"Crystal_structure": ["composition"], "temperature": ["temperature (k)", "temperature"], "N_type_carrier": ["hall mobility", "mobility"]}}
 
 
+TABLES = "source_id string, doi string, title string, page int, table_number string, rows array<array<string>>, context string"
+PAGES = "source_id string, doi string, title string, page int, text string"
+
+
 @pytest.mark.parametrize("rows, expected", [
-    ([["Composition", "Temperature (K)", "Hall mobility (cm2 V-1 s-1)"], ["Bi2Te2.7Se0.3", "300", "125.5"]], ("Bi2Te2.7Se0.3", "300", "125.5", "0.87")),
-    ([["Composition", "Temperature (K)", "Mobility (10^-4 m2 V-1 s-1)"], ["Bi2Te3", "300", "150"]], ("Bi2Te3", "300", "150", "0.87")),
+    ([["Composition", "Temperature (K)", "Hall mobility (cm2 V-1 s-1)"], ["Bi2Te2.7Se0.3", "300", "125.5"]], ("Bi2Te2.7Se0.3", "300", "125.5", "0.87", "Hall mobility (cm2 V-1 s-1)")),
+    ([["Composition", "Temperature (K)", "Mobility (10^-4 m2 V-1 s-1)"], ["Bi2Te3", "300", "150"]], ("Bi2Te3", "300", "150", "0.87", "Mobility (10^-4 m2 V-1 s-1)")),
+    ([["Sample", "", "Hall"], ["Composition", None, "mobility"], ["", "temperature", "(cm2/Vs)"], [" Bi2Te3 ", "x", "7"], ["no", "number", "here"]], ("Bi2Te3", "", "7", "0.75", "Hall mobility (cm2/Vs)")),
 ])
 def test_tables(spark, rows, expected):
-    df = spark.createDataFrame([("s", "4", rows, "")], "source_id string, page string, rows array<array<string>>, context string")
-    r = extract.table_candidates(df, SCHEMA).first()
-    assert (r["Crystal_structure"], r["temperature"], r["N_type_carrier"], r["confidence"]) == expected
+    found = extract.table_candidates(spark.createDataFrame([("s", "d", "t", 4, "4:1", rows, "")], TABLES), SCHEMA).collect()
+    assert [(r["Crystal_structure"], r["temperature"], r["N_type_carrier"], r["confidence"], r["mobility_original_unit"]) for r in found] == [expected]
+    r = found[0]
+    assert (r["doi"], r["title"], r["page"], r["evidence_type"], r["review_status"]) == ("d", "t", "4", "table", "needs_review")
+    payload = "|".join(r[c] for c in ("source_id", "page", "Crystal_structure", "temperature", "N_type_carrier", "evidence_type", "evidence"))
+    assert r["candidate_id"] == hashlib.sha256(payload.encode()).hexdigest()[:16]
+
+
+def test_table_notes(spark):
+    """Notes of the conversions first, then those of the validation, each once; a formula from the whole row."""
+    rows = [["Mobility", "T (deg C)"], ["12 for Bi2Te3", "25"], ["13", "2500"], ["", "1"]]
+    schema = {"column_aliases": {"temperature": ["t (deg c)"], "N_type_carrier": ["mobility"]}, "validation": {"required_elements": ["Bi", "Te"], "Direction": [0]}}
+    found = extract.table_candidates(spark.createDataFrame([("s", "", "", 1, "", rows, "")], TABLES), schema).orderBy("at").collect()
+    off, unit = "categorical mapping disabled pending scientific confirmation", "mobility unit not recognized; value was not rescaled"
+    warm = "temperature converted from Celsius to kelvin"
+    assert [(r["Crystal_structure"], r["temperature"], r["confidence"]) for r in found] == [("Bi2Te325", "298.15", "0.77"), ("", "2773.15", "0.57")]
+    assert found[0]["validation_notes"] == f"{unit}; {warm}; {off}; Crystal_form missing; Direction missing"
+    assert found[1]["validation_notes"] == f"{unit}; {warm}; {off}; chemical formula missing; temperature outside configured range; Crystal_form missing; Direction missing"
+
+
+def test_header_depth(spark):
+    """The least depth that names most fields, the longest alias, the first listed among equals; none without an alias."""
+    df = spark.createDataFrame([([["Temperature (K)", "mobility"], ["1", "2"], ["composition", "3"]],), ([["a", "b"]],), ([],)], "rows array<array<string>>")
+    found = [r["h"] for r in df.select(extract.table_header(F.col("rows"), SCHEMA["column_aliases"]).alias("h")).collect()]
+    assert found[0]["depth"] == -1 and found[0]["fields"]["temperature"]["c"] == 0 and found[0]["fields"]["Crystal_structure"] is None
+    assert found[1] is None and found[2] is None
+    assert one(spark, extract.field_of(F.lit("Straße"), {"a": ["s"], "b": ["strasse", "x"], "c": ["STRASSE"]})) == "b"
 
 
 def test_paired_lists(spark):
     text = "The carrier concentration and mobility were 1.2, 1.3 (10^19 cm-3) and 58.3, 56.4 (cm2/(V s)) for Lu0.1Bi1.9Te3, Lu0.1Bi1.9Te2.8Se0.2, respectively."
-    df = spark.createDataFrame([("s", "1", text)], "source_id string, page string, text string")
-    found = extract.paired_candidates(df, {}).orderBy("place").collect()
-    assert [(r["Crystal_structure"], r["N_type_carrier"]) for r in found] == [("Lu0.1Bi1.9Te3", "58.3"), ("Lu0.1Bi1.9Te2.8Se0.2", "56.4")]
+    df = spark.createDataFrame([("s", "", "", 1, text), ("s", "", "", 2, text.replace("58.3, 56.4", "58.3, 56.4, 1"))], PAGES)
+    found = extract.paired_candidates(df, {}).orderBy("at").collect()
+    assert [(r["Crystal_structure"], r["N_type_carrier"], r["evidence_type"], r["confidence"]) for r in found] == [("Lu0.1Bi1.9Te3", "58.3", "parallel_text_list", "0.78"), ("Lu0.1Bi1.9Te2.8Se0.2", "56.4", "parallel_text_list", "0.78")]
+
+
+def test_vertical_table(spark):
+    """A line that looks like a formula but lacks the required elements doesn't end a row; a formula with them does."""
+    need = {"validation": {"required_elements": ["Bi", "Te"]}}
+    text = "Data at 300 K\nSample\nMobility (cm2 V-1 s-1)\nBi2Te3\nDNA note\n1000\n2e19\n120\n5\nBi2 Te2.7 Se0.3\n1\n2\nBi1Te1\n3\n4\nx\n5\n"
+    found = extract.vertical_candidates(spark.createDataFrame([("s", "", "", 1, text), ("s", "", "", 2, "Bi2Te3\n1\n2\n3"), ("s", "", "", 3, None)], PAGES), need).collect()
+    assert [(r["Crystal_structure"], r["temperature"], r["N_type_carrier"], r["confidence"]) for r in found] == [("Bi2Te3", "300", "120", "0.82")]
+    assert found[0]["evidence"] == "Mobility (cm2 V-1 s-1) | Bi2Te3 | DNA note | 1000 | 2e19 | 120" and found[0]["validation_notes"].startswith("table recovered")
+
+
+def test_text_blocks(spark):
+    """The first number after the word wins; the order of emission is lists, vertical tables, sentences."""
+    text = "The Hall mobility of Bi2Te3 is 125.5 cm2 V-1 s-1\u00a0at room temperature. Nothing;\n\nmu_H = 2.5 x 10^-2 m2/Vs"
+    found = extract.page_candidates(spark.createDataFrame([("s", "", "", 1, text)], PAGES), {}).orderBy("at").collect()
+    assert [(r["N_type_carrier"], r["temperature"], r["confidence"], r["evidence_type"]) for r in found] == [("2", "300", "0.68", "text"), ("250", "", "0.52", "text")]
 
 
 def test_html(spark):
@@ -85,3 +135,205 @@ def test_process():
     y = np.sin(x[:, 0]) + x[:, 1]
     mu, sd = learning.Process.fit(x, y, 1).predict(x)
     assert np.abs(mu - y).max() < 0.1 and (sd >= 0).all()
+
+
+def test_unseen_cells():
+    """What stands in script, style and noscript opens no cell; an unclosed cell is lost; a nested table starts anew."""
+    assert extract.read_page("<table><tr><td>a</td><noscript><td>x</td></noscript><td>b</td></tr></table>") == ("a b", [[["a", "b"]]])
+    assert extract.read_page("<table><tr><td>a<td>b</td></tr><tr><td> </td></tr></table>")[1] == [[["b"]]]
+    assert extract.read_page("<table><tr><td>a</td></tr><table><tr><td>c</td></tr></table></table>")[1] == [[["c"]]]
+
+
+def test_keys(spark):
+    rows = [("Bi2 Te3", "n/a", "100", None, "0"), ("Bi2Te3", "", "100.0", "", " 0 "), (None, "300", "1", "0", "0"), ("Bi2Te3", "3 00", "1", "0", "0"), ("Bi2Te3", "300", "1", "0", "0")]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in dataset.DATASET))
+    n, t = (df.select(k.alias("k")).collect() for k in (dataset.numeric_key(), dataset.string_key()))
+    assert n[0] == n[1] and len(n[2]["k"].split("\x1f")) == 5 and t[3] == t[4] and t[0] != t[1]
+
+
+def test_refresh(spark):
+    """Decisions and notes stay; of repeated old ids the last decides; manual rows stay however they are written."""
+    cols = "candidate_id string, " + ", ".join(f"{c} string" for c in dataset.DATASET) + ", evidence_type string, review_status string, reviewer_notes string"
+    row = lambda i, m, kind, status, notes="": (i, "Bi2Te3", "300", m, "", "", kind, status, notes)
+    old = spark.createDataFrame([(*r, k) for k, r in enumerate([row("a", "101.5", "table", " Approved", "checked against Table 2"), row("b", "1", "table", "approved"), row("b", "2", "table", "needs_review"), row("c", "3", " Manual ", "needs_review"), row("d", "4", "table", "needs_review", "note"), row("", "5", "table", "rejected")])], cols + ", seq long")
+    new = spark.createDataFrame([row("a", "100", "table", "needs_review"), row("b", "9", "table", "needs_review"), row("e", "8", "table", "needs_review")], cols)
+    found = sorted((r["candidate_id"], r["N_type_carrier"], r["review_status"], r["carried"]) for r in dataset.refreshed(old, new).collect())
+    assert found == [("", "5", "rejected", 1), ("a", "101.5", " Approved", 0), ("b", "9", "needs_review", 0), ("c", "3", "needs_review", 1), ("e", "8", "needs_review", 0)]
+
+
+def test_invalid_rows_stop_the_build(spark):
+    cols = "candidate_id string, source_id string, doi string, page string, evidence_type string, evidence string, reviewer_notes string, review_status string, seq long, " + ", ".join(f"{c} string" for c in dataset.DATASET)
+    review = spark.createDataFrame([("x", "s", "", "1", "table", "", "", "approved", 1, "Bi2Te3", "hot", "5", "0", "0")], cols)
+    with pytest.raises(ValueError, match="x: temperature missing"):
+        dataset.built(review.limit(0).select(*dataset.DATASET), review)
+
+
+def test_missing_elements(spark):
+    for formula in ("", "xyz", None, "Bi2Xx3"):
+        with pytest.raises(Exception, match="element"):
+            features.compositions(spark.createDataFrame([(1, formula)], "k int, f string"), "k", "f").collect()
+
+
+def test_partial_properties(spark):
+    """A missing property counts as 0: by the definitions, in plain Python."""
+    comp = features.compositions(spark.createDataFrame([(1, "Bi2Te3")], "k int, f string"), "k", "f")
+    for value in (83.0, float("nan")):
+        properties = spark.createDataFrame([("Bi", 29, 83.0), ("Te", 29, value)] if value != 83.0 else [("Bi", 29, 83.0)], "symbol string, descriptor_id int, value double")
+        r = features.statistics(comp, properties, "k").first()
+        centre = (2 * 83 + 0) / 2
+        assert r["WSD"] == pytest.approx(math.sqrt((2 * (83 - centre) ** 2 + 3 * (0 - centre) ** 2) / 5)) and r["WAM"] == 2.0 and r["WEM"] == 0.0
+
+
+def test_correlations(spark):
+    """Large values, missing values and constants, against pairwise-complete sums in NumPy."""
+    rng = np.random.RandomState(3)
+    x = rng.normal(size=(200, 4))
+    x[:, 1] = x[:, 0] * 0.5 + x[:, 1]
+    x[:, 2] += 1e9
+    x[:, 3] = 7.0
+    x[5, 0], x[9, 1] = np.nan, np.inf
+    df = spark.createDataFrame([(r.tolist(),) for r in x] + [(None,)], "v array<double>").repartition(3)
+    found = {(r["i"], r["j"]): r["r"] for r in features.correlations(df, "v").collect()}
+    for i in range(4):
+        for j in range(4):
+            both = np.isfinite(x[:, i]) & np.isfinite(x[:, j])
+            if 3 in (i, j):
+                assert found[i, j] is None
+            else:
+                a, b = x[both, i] - x[both, i].mean(), x[both, j] - x[both, j].mean()
+                assert found[i, j] == pytest.approx(abs((a * b).sum() / math.sqrt((a * a).sum() * (b * b).sum())), abs=1e-6)
+
+
+PAPER = "<html><title>On  Bi</title><body><table><tr><th>Composition</th><th>Temperature (K)</th><th>Hall mobility (cm2 V-1 s-1)</th></tr><tr><td>Bi2Te2.7Se0.3</td><td>300</td><td>125.5</td></tr></table></body></html>"
+
+
+def test_agent_run(spark, tmp_path):
+    """From an HTML file to the dataset, its provenance and report; papers that can't be read or don't matter give a status and no rows."""
+    (tmp_path / "paper.html").write_text(PAPER)
+    (tmp_path / "other.html").write_text("<p>Carrier mobility alone</p>")
+    (tmp_path / "base.csv").write_text("\ufeffCrystal_structure,temperature,N_type_carrier,Crystal_form,Direction\r\nBi2Te3,300,100,1,0\r\n")
+    papers = tables.paper_inputs(spark, [str(tmp_path / "paper.html"), str(tmp_path / "other.html"), {"source_id": "p", "doi": "doi:10.1000/EXAMPLE"}, str(tmp_path / "paper.html")])
+    assert [(r["doi"], r["stable_id"]) for r in papers.filter("source_id = 'p'").collect()] == [("10.1000/example", "p")]
+    documents = agent.read_papers(papers, tables.read_documents(spark, str(tmp_path / "*.html")))
+    base = tables.read_strings(spark, str(tmp_path / "base.csv"))
+    run = agent.agent_run(documents, base)
+    assert run.counters == {"input_count": 4, "base_rows": 1, "papers_with_candidates": 2, "extracted_rows": 2, "added_rows": 1, "duplicate_rows": 1, "output_rows": 2}
+    assert [r["status"] for r in run.papers.orderBy("paper_no").collect()] == ["candidates_extracted", "mention_without_extractable_values", "error", "candidates_extracted"]
+    out = agent.output_rows(run)
+    assert out.columns == dataset.DATASET and [tuple(r) for r in out.collect()] == [("Bi2Te3", "300", "100", "1", "0"), ("Bi2Te2.7Se0.3", "300", "125.5", "", "")]
+    tables.replaced(out, str(tmp_path / "out.csv"), dataset.DATASET)
+    with pytest.raises(ValueError, match="in_place"):
+        tables.replaced(out, str(tmp_path / "out.csv"), dataset.DATASET)
+    with pytest.raises(ValueError, match="in_place"):
+        agent.checked_target(str(tmp_path / "base.csv"), str(tmp_path / "base.csv"), False)
+    again = tables.read_strings(spark, str(tmp_path / "out.csv"))
+    kept = tables.replaced(again.limit(1), str(tmp_path / "out.csv"), dataset.DATASET, in_place=True)
+    assert tables.read_strings(spark, kept).count() == 2 and tables.read_strings(spark, str(tmp_path / "out.csv")).count() == 1
+    tables.write_json_lines(run.provenance.orderBy("paper_no", "row_no"), str(tmp_path / "provenance"))
+    lines = [json.loads(x) for f in (tmp_path / "provenance").glob("part*") for x in f.read_text().splitlines()]
+    assert [(x["page"], x["extraction_method"], x["table_number"], x["title"], x["merged"], x["dataset_row"]["N_type_carrier"]) for x in sorted(lines, key=lambda x: x["paper_no"])] == [("1", "table", "html:1", "On Bi", True, "125.5"), ("1", "table", "html:1", "On Bi", False, "125.5")]
+    told = json.loads(tables.report(run.papers, run.counters).first()["report"])
+    assert told["added_rows"] == 1 and len(told["papers"]) == 4
+    all_kept = agent.agent_run(documents, base, deduplicate=False)
+    assert (all_kept.counters["added_rows"], all_kept.counters["duplicate_rows"]) == (2, 0)
+    # Rebuilding with the output as base adds nothing; a judge of one's own decides.
+    assert agent.agent_run(documents, out).counters["added_rows"] == 0
+    nothing = lambda text, n: dataset.judged(F.lit(""), n)
+    assert agent.agent_run(documents, base, judge=nothing).counters["extracted_rows"] == 0
+
+
+def test_extraction_run(spark):
+    sources = spark.createDataFrame([(k, s, "", "", "", on) for k, (s, on) in enumerate([("a", True), ("b", False), ("c", True), ("d", True), ("e", True), ("f", True)])], "source_no long, source_id string, doi string, title string, local_pdf string, enabled boolean")
+    pages = spark.createDataFrame([("a", 1, "mobility was high"), ("a", 2, "x"), ("b", 1, "mobility"), ("c", 1, "mobility table"), ("d", 1, "nothing"), ("f", 1, "mobility")], "source_id string, page int, text string")
+    rows = [["Composition", "Mobility (cm2/Vs)"], ["Bi2Te3", "5"]]
+    cells = spark.createDataFrame([("c", 1, "1:1", rows), ("c", 1, "1:2", rows)], "source_id string, page int, table_number string, rows array<array<string>>")
+    queue, report, images = agent.extraction_run(sources, pages, cells, SCHEMA, limit=4)
+    assert [(r["source_id"], r["status"], r["candidate_count"], r["review_images"]) for r in report.orderBy("source_no").collect()] == [("a", "manual_digitization_required", "0", "a_page_1.png"), ("c", "candidates_extracted", "1", ""), ("d", "no_target_mention", "0", ""), ("e", "missing_pdf", "0", "")]
+    assert [(r["source_id"], r["N_type_carrier"]) for r in queue.collect()] == [("c", "5")] and queue.columns == extract.CANDIDATE and images.count() == 1
+
+
+def test_manifest(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("key,doi,enabled\na,doi:10.1/X,yes\nb,,No\na,,1\n")
+    with pytest.raises(ValueError, match=r"'a' \(line 2\)"):
+        tables.read_manifest(spark, str(tmp_path / "m.csv"))
+    (tmp_path / "f.csv").write_text("t,u\n1,2\n3.5,4\n")
+    assert [(r["row_id"], r["y"]) for r in tables.read_numbers(spark, str(tmp_path / "f.csv"), target=True).orderBy("row_id").collect()] == [(0, 1.0), (1, 3.5)]
+    (tmp_path / "s.json").write_text(json.dumps({"validation": {"required_elements": ["Bi"]}}))
+    assert tables.read_schema(spark, str(tmp_path / "s.json"))["validation"]["required_elements"] == ["Bi"] and tables.read_schema(spark, None) == agent.DEFAULT_SCHEMA
+
+
+@pytest.mark.parametrize("link, whole", [("x.pdf", "https://a.org/b/x.pdf"), ("/x.pdf", "https://a.org/x.pdf"), ("//c.org/x.pdf", "https://c.org/x.pdf"), ("http://d.org/x", "http://d.org/x")])
+def test_links(spark, link, whole):
+    assert one(spark, X.resolved(F.lit(link), F.lit("https://a.org/b/page.html?q=1"))) == whole
+
+
+def test_publisher_links(spark):
+    assert one(spark, X.publisher_url(F.lit("https://www.mdpi.com/2076-3417/8/5/735/pdf"), F.lit("10.3390/app8050735"))) == "https://mdpi-res.com/d_attachment/applsci/applsci-8-00735/article_deploy/applsci-8-00735.pdf"
+    assert one(spark, X.publisher_url(F.lit("https://example.org/2076-3417/8/5/735/pdf"), F.lit("10.3390/app8050735"))) is None
+
+
+def labelled(spark, n=130):
+    rng = np.random.RandomState(1)
+    x = rng.normal(size=(n, 4))
+    x[:, 3] = x[:, 0] * 1.001
+    y = 3 * x[:, 0] + np.sin(x[:, 1])
+    return spark.createDataFrame([(k, *map(float, r), float(v)) for k, (r, v) in enumerate(zip(x, y, strict=True))], "row_id long, a double, b double, c double, d double, y double")
+
+
+def test_learning(spark):
+    """Roles, tables of all rounds, and the screening by the last one."""
+    df, config = labelled(spark), learning.Config(features=2, restarts=1)
+    run = learning.learned(df, "row_id", ["a", "b", "c", "d"], "y", config)
+    told = run.tables(spark, config)
+    history = told["history"].orderBy("Iteration").collect()
+    assert [r["Training_Size"] for r in history] == [50 + 20 * k if 50 + 20 * k < 80 else 80 for k in range(len(history))] and all(r["Training_Size"] + r["Pool_Size"] == 80 for r in history)
+    assert history[-1]["R2"] > 0.9
+    assert told["parity"].groupBy("Iteration").count().filter("count != 50").count() == 0
+    assert told["roles"].filter("role = 'test'").count() == 50 and told["roles"].filter("role = 'pool' and acquired_iter > 0").count() == 0
+    weights = told["selected_features"].groupBy("Iteration").agg(F.sum("Normalized_Weight").alias("w"), F.max("Rank").alias("n")).collect()
+    assert all(r["w"] == pytest.approx(1) and r["n"] == 2 for r in weights)
+    names = [r["Feature_Name"] for r in told["feature_summary"].collect()]
+    assert len({"a", "d"} & set(names)) == 1  # the two are one up to a factor
+    summary = told["summary"].first()
+    assert (summary["Total_Iterations"], summary["Initial_Training_Size"], summary["Final_Converged_R2"]) == (len(history), 50, history[-1]["R2"])
+    candidates = df.withColumn("Dopant_Element", F.when(F.col("row_id") % 3 == 0, "Bi2Te3Cu1").when(F.col("row_id") % 3 == 1, "Bi2Te3"))
+    scored = learning.screened(candidates, run)
+    assert scored.filter("EI_Score < -1e-9 or Uncertainty < 0").count() == 0 and scored.count() == 130
+    by, dopant = learning.rankings(scored)
+    assert by.count() == 2 and [(r["Dopant_Element_Type"], r["Sample_Count"]) for r in dopant.collect()] == [("Cu", 44)]
+    with pytest.raises(KeyError):
+        learning.screened(candidates.drop(run.features[0]), run)
+
+
+@pytest.mark.parametrize("change, error", [("y = double('nan')", "target"), ("a = double('inf')", "infinite")])
+def test_bad_rows(spark, change, error):
+    name, value = change.split(" = ")
+    df = labelled(spark).withColumn(name, F.when(F.col("row_id") == 3, F.expr(value)).otherwise(F.col(name)))
+    with pytest.raises(ValueError, match=error):
+        learning.learned(df, "row_id", ["a", "b"], "y")
+    with pytest.raises(KeyError):
+        learning.validated(df, ["q"], "y")
+    with pytest.raises(ValueError, match="rows are needed"):
+        learning.validated(labelled(spark, 100), ["a"], "y")
+
+
+def test_split_counts():
+    rng = np.random.RandomState(4)
+    x = rng.normal(size=(120, 3))
+    x[::7, 2] = np.nan
+    counts = learning.split_counts(x, np.where(x[:, 1] > 0, 5.0, 1.0), trees=20)
+    assert counts[1] >= 20 and counts[1] > counts[0] + counts[2]
+    assert learning.split_counts(x, np.ones(120)).sum() == 0
+
+
+def test_append_stream(spark, tmp_path):
+    """Rows of micro-batches are added once, also when the stream runs again."""
+    from matloom.streaming.append import append_new
+
+    schema = ", ".join(f"{c} string" for c in dataset.DATASET) + ", seq long"
+    base, new = [("Bi2Te3", "300", "1", "", "", 0)], [("Bi2 Te3", "300", "1", "", "", 1), ("Bi2Te3", "301", "1", "", "", 2), ("Bi2Te3", "301", "1", "", "", 3)]
+    spark.createDataFrame(base, schema).select(*dataset.DATASET).write.parquet(str(tmp_path / "table"))
+    spark.createDataFrame(new, schema).write.parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        append_new(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "table"), str(tmp_path / "state")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "table")).count() == 2
