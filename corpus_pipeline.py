@@ -8,11 +8,9 @@ columns beside doc_id and text pass through whatever their names (n_chars follow
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from matloom.llm import bpe, decontam, neardup, pii, quality
-from matloom.session import prepare, shared_dir, table
+from matloom.session import prepare, table, written
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,11 +58,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written to the shared folder and read again."""
+    """All stages over documents; each stage's rows are written to the shared folder and read again. The folder goes with the driver."""
     prepare(spark)
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{k}")
     return docs

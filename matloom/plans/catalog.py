@@ -578,15 +578,21 @@ def gp_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.predicted(df.select("vec_id", *columns), process, columns, mean, width).select("vec_id", "mu", "sigma")
 
 
+#: More rows a round than the usual 20, so that a table of hundreds of rows takes a few rounds; all else is the usual.
+ROUNDS = learning.Config(acquired=100)
+
+
+def _learned(spark: SparkSession, sf_dir: str) -> learning.Learned:
+    return learning.learned(_vectors(spark, sf_dir, 64), "vec_id", [f"x{k}" for k in range(64)], "y", ROUNDS)
+
+
 @query()
 def active_learning_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = learning.learned(_vectors(spark, sf_dir, 64), "vec_id", [f"x{k}" for k in range(64)], "y")
-    return run.tables(spark)["history"]
+    return _learned(spark, sf_dir).tables(spark, ROUNDS)["history"]
 
 
 @query()
 def candidate_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector as a candidate, scored by the last round of a run over all vectors."""
-    vectors = _vectors(spark, sf_dir, 64)
-    run = learning.learned(vectors, "vec_id", [f"x{k}" for k in range(64)], "y")
-    return learning.screened(vectors, run).select("vec_id", "Predicted_Mobility", "Uncertainty", "EI_Score")
+    scored = learning.screened(_vectors(spark, sf_dir, 64), _learned(spark, sf_dir))
+    return scored.select("vec_id", "Predicted_Mobility", "Uncertainty", "EI_Score")
