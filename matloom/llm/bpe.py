@@ -4,12 +4,12 @@ Texts of up to CHUNK code points are encoded as they are. Longer ones are cut in
 overlapping chunks that are pre-tokenised in parallel tasks. Two neighbouring chunks are
 stitched where both put a pre-token boundary at the same place of their overlap, after a
 character that isn't white space: from there on both would go on alike, and the text on either
-side can be encoded by itself. Where an overlap has no such place (one endless word), the
-chunks stay one piece. Each piece is then encoded in parallel, and a text's
+side can be encoded by itself. Where an overlap has no such place, the piece so far is scanned on from its start, which
+is a boundary for certain, and parted at the last one found; an endless word stays one piece. Each piece is then encoded in parallel, and a text's
 ids are the pieces' ids in order; decoding concatenates the ids' raw bytes.
 
 Null counts as empty; an empty text has no ids. Repeated keys and rows are kept apart by a row
-number of their own. Extra columns stay.
+number of their own. An empty table gives an empty one. Extra columns stay, but for those of the names that encoded() returns.
 """
 
 from __future__ import annotations
@@ -66,7 +66,9 @@ def encoded(documents: DataFrame, rank_file: str, pattern: str, text: str = "tex
     rank_file: a rank file that every executor has at this path.
     """
     keep = [c for c in documents.columns if c not in (text, "n_tokens", "ids_sha256", "decoded_sha256", "token_ids")]
-    rows = documents.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    # The columns go under numbers, so that none of their names can clash with those used here.
+    own = [f"c{k}" for k in range(len(keep))]
+    rows = documents.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, own, strict=True)], F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
     base = documents.select(*keep).schema
     schema = base.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if keep_ids:
@@ -98,7 +100,7 @@ def encoded(documents: DataFrame, rank_file: str, pattern: str, text: str = "tex
     long = rows.filter(F.length("_text") > chunk).withColumn("_row", F.monotonically_increasing_id())
     # _row is drawn anew by a retried task, alike as long as its input split is; _key keeps a row's chunks together in any case.
     long = long.withColumn("_key", F.concat_ws(":", F.col("_row"), F.xxhash64("_text")))
-    head = F.struct(*[F.col(c) for c in keep]) if keep else F.struct(F.lit(0).alias("_none"))
+    head = F.struct(*own) if keep else F.struct(F.lit(0).alias("_none"))
     starts = F.expr(f"sequence(0L, greatest(0L, cast(length(_text) as long) - 1L), {chunk}L)")
     chunks = long.select(
         "_key",
@@ -107,13 +109,6 @@ def encoded(documents: DataFrame, rank_file: str, pattern: str, text: str = "tex
     ).select("_key", F.when(F.col("_n") == 0, F.col("_head")).alias("_head"), F.col("_n").cast("long").alias("_n"), F.col("_c.part").alias("_part"))
     chunks = chunks.repartition(F.col("_key"), F.col("_n"))
 
-    def scanned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield f.assign(
-                _early=[boundaries(p[: 2 * overlap], pattern, (1, overlap)) if n else [] for p, n in zip(f["_part"], f["_n"], strict=True)],
-                _late=[[e - chunk for e in boundaries(p, pattern, (chunk + 1, chunk + overlap))] for p in f["_part"]],
-            )
-
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = batch.to_pylist()
@@ -139,7 +134,17 @@ def encoded(documents: DataFrame, rank_file: str, pattern: str, text: str = "tex
                         out.append(now)
                     now = {"_key": r["_key"], "_head": r["_head"], "_n": 0, "_piece": own}
                 elif (cut := next((e for e in sorted(set(r["_early"]) & set(late))), None)) is None:
-                    now["_piece"] += own
+                    # This chunk's boundaries may all be wrong: the piece is scanned from its start, which is one.
+                    whole, end = now["_piece"] + r["_part"], len(now["_piece"]) + len(own)
+                    found = boundaries(whole, pattern, (1, end + overlap))
+                    cut = max((e for e in found if e <= end), default=0)
+                    if cut:
+                        out.append(now | {"_piece": whole[:cut]})
+                        now = {"_key": now["_key"], "_head": None, "_n": now["_n"] + 1, "_piece": whole[cut:end]}
+                    else:
+                        now["_piece"] = whole[:end]
+                    late = [e - end for e in found if e > end]
+                    continue
                 else:
                     out.append(now | {"_piece": now["_piece"] + own[:cut]})
                     now = {"_key": now["_key"], "_head": None, "_n": now["_n"] + 1, "_piece": own[cut:]}
@@ -162,7 +167,7 @@ def encoded(documents: DataFrame, rank_file: str, pattern: str, text: str = "tex
         enc, now = encoding(rank_file, pattern), None
 
         def ended(s: dict) -> dict:
-            row = (s["head"] if keep else {}) | {"n_tokens": s["count"], "ids_sha256": s["ids"].hexdigest(), "decoded_sha256": s["text"].hexdigest()}
+            row = {c: s["head"][n] for c, n in zip(keep, own, strict=True)} | {"n_tokens": s["count"], "ids_sha256": s["ids"].hexdigest(), "decoded_sha256": s["text"].hexdigest()}
             return row | {"token_ids": s["all"]} if keep_ids else row
 
         for batch in batches:
