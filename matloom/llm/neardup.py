@@ -270,7 +270,7 @@ def _grouped(documents: DataFrame, k: int, percent: int) -> tuple[DataFrame, Dat
 def linked(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of documents: doc_id, n_shingles, component_id, kept."""
     signed, named_groups = _grouped(documents, k, percent)
-    smallest = named_groups.groupBy("c").agg(F.min("doc").alias("component_id"))
+    smallest = written(named_groups.groupBy("c").agg(F.min("doc").alias("component_id")), "smallest")
     of_node = named_groups.join(smallest, "c").select("node", "component_id")
     out = signed.select("doc_id", F.col("n").alias("n_shingles"), "node").join(of_node, "node", "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
@@ -286,7 +286,8 @@ def deduplicated(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFra
     signed, named_groups = _grouped(documents, k, percent)
     rows = signed.filter("doc_id is not null").groupBy("doc_id", "key").agg(F.first("node").alias("node"), F.count("*").alias("times"))
     rows = written(rows.join(named_groups.select("node", "c"), "node", "left"), "rows")
-    best = rows.filter("c is not null").groupBy("c").agg(F.min(F.struct("doc_id", "key")).alias("x")).select("c", F.col("x.doc_id").alias("best_id"), F.col("x.key").alias("best_key"))
+    # Written, so that adaptive execution can split a large component's rows in the join.
+    best = written(rows.filter("c is not null").groupBy("c").agg(F.min(F.struct("doc_id", "key")).alias("x")).select("c", F.col("x.doc_id").alias("best_id"), F.col("x.key").alias("best_key")), "best")
     told = rows.filter("c is not null").join(best, "c")
     gone = told.filter((F.col("doc_id") != F.col("best_id")) | (F.col("key") != F.col("best_key"))).select("doc_id", "key")
     own, key = (_free(documents, c) for c in ("_own", "_key"))
