@@ -210,7 +210,7 @@ def compared(documents: DataFrame, cells: int = CELLS) -> DataFrame:
     the first document of each range is sent twice, to its own range and the one before.
     """
     spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("k", F.coalesce("doc_id", F.lit(_LOWEST)))
     ranges = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(set(docs.select("k").approxQuantile("k", [i / ranges for i in range(1, ranges)], 0.25 / ranges)))

@@ -111,9 +111,6 @@ class Model:
             order_esc.append(esc.astype(np.float32))
         return cls(langs, order_keys, order_cost, order_ctx, order_esc)
 
-    def compiled(self) -> Scorer:
-        return Scorer(self)
-
 
 class Scorer:
     """The model with an open hash table over full windows."""

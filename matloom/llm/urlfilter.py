@@ -132,19 +132,22 @@ def judge(pages: DataFrame, rules: list[Rule], default: str = "allow", url: str
     rank = np.lexsort((np.arange(len(rules)), -length[: len(rules)]))
     clean = pages.drop(*[c for c in pages.columns if c.lower() in ("host", "path", "rule", "verdict")])
     split = clean.withColumns({"host": F.coalesce(host_of(F.col(url)), F.lit("")), "path": F.coalesce(path_of(F.col(url)), F.lit(""))})
-    split = split.withColumn("_canonical", F.concat("host", "path"))
+    own = "_canonical"
+    while own in {c.lower() for c in clean.columns}:
+        own += "_"
+    split = split.withColumn(own, F.concat("host", "path"))
     schema = clean.schema.add("host", "string").add("path", "string").add("rule", "string").add("verdict", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             best = np.full(batch.num_rows, -1)
-            for a, b, data, offsets in V.rows_in(batch, "_canonical"):
+            for a, b, data, offsets in V.rows_in(batch, own):
                 fits = automaton.matches(data, offsets)
                 for i in reversed(rank):
                     globs = [g for g, o in enumerate(automaton.owners) if o == i]
                     best[a:b][fits[:, globs].any(1)] = i
-            kept = [batch.column(k) for k, n in enumerate(batch.schema.names) if n != "_canonical"]
-            names = [n for n in batch.schema.names if n != "_canonical"]
+            kept = [batch.column(k) for k, n in enumerate(batch.schema.names) if n != own]
+            names = [n for n in batch.schema.names if n != own]
             rule = pa.array([rules[i].name if i >= 0 else None for i in best], pa.string())
             verdict = pa.array([rules[i].verdict if i >= 0 else default for i in best], pa.string())
             yield pa.RecordBatch.from_arrays([*kept, rule, verdict], [*names, "rule", "verdict"])
