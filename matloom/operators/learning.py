@@ -79,9 +79,9 @@ class Process:
     @classmethod
     def _loss(cls, theta: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
         """Negative log marginal likelihood and its gradient."""
-        n, length = len(x), np.exp(theta[2:])
-        diff = (x[:, None] - x[None]) ** 2 / length**2
-        d = np.sqrt(diff.sum(-1)) * math.sqrt(3)
+        n, z = len(x), x / np.exp(theta[2:])
+        size = (z * z).sum(1)
+        d = np.sqrt(np.maximum(size[:, None] + size[None] - 2 * z @ z.T, 0)) * math.sqrt(3)
         e = np.exp(theta[0]) * np.exp(-d)
         k = e * (1 + d)
         try:
@@ -92,7 +92,10 @@ class Process:
         inv = inv.T @ inv
         alpha = inv @ y
         w = inv - np.outer(alpha, alpha)
-        grad = np.concatenate([[(w * k).sum() / 2, np.exp(theta[1]) * np.trace(w) / 2], 1.5 * np.einsum("ij,ij,ijk->k", w, e, diff)])
+        # By length: the sum over pairs of m times the squared distance in one column, without a table of all pairs and columns.
+        m = w * e
+        by_length = 3 * ((z * z).T @ m.sum(1) - ((m @ z) * z).sum(0))
+        grad = np.concatenate([[(w * k).sum() / 2, np.exp(theta[1]) * np.trace(w) / 2], by_length])
         return float(y @ alpha / 2 + np.log(np.diag(chol)).sum() + n * math.log(2 * math.pi) / 2), grad
 
     @classmethod

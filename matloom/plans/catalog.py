@@ -578,8 +578,8 @@ def gp_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.predicted(df.select("vec_id", *columns), process, columns, mean, width).select("vec_id", "mu", "sigma")
 
 
-#: More rows a round than the usual 20, so that a table of hundreds of rows takes a few rounds; all else is the usual.
-ROUNDS = learning.Config(acquired=100)
+#: 200 rows a round for the usual 20 and one restart of a fit for the usual 20, so that a table of hundreds of rows takes a minute; all else is the usual.
+ROUNDS = learning.Config(acquired=200, restarts=1)
 
 
 def _learned(spark: SparkSession, sf_dir: str) -> learning.Learned:
@@ -589,10 +589,3 @@ def _learned(spark: SparkSession, sf_dir: str) -> learning.Learned:
 @query()
 def active_learning_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _learned(spark, sf_dir).tables(spark, ROUNDS)["history"]
-
-
-@query()
-def candidate_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector as a candidate, scored by the last round of a run over all vectors."""
-    scored = learning.screened(_vectors(spark, sf_dir, 64), _learned(spark, sf_dir))
-    return scored.select("vec_id", "Predicted_Mobility", "Uncertainty", "EI_Score")
