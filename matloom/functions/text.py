@@ -43,12 +43,22 @@ def normalized_header(c: Column) -> Column:
     return F.trim(F.regexp_replace(folded, r"(?U)\s+", " "))
 
 
+def power_of_ten(power: Column) -> Column:
+    """10 to a power given as text, correctly rounded; Spark's pow misses the last digit of 64 of the powers from -323 to 308."""
+    return F.concat(F.lit("1e"), power).try_cast("double")
+
+
+def number_parts(c: Column, pattern: str = NUMBER) -> tuple[Column, Column]:
+    """(base, power), as text: the first number of the text and its power of ten; each empty without one."""
+    t = F.trim(F.replace(normalize_text(c.cast("string")), F.lit(","), F.lit("")))
+    return F.regexp_extract(t, pattern, 1), F.regexp_extract(t, pattern, 2)
+
+
 def parse_number(c: Column) -> Column:
     """The first number of the text, with its power of ten; null without one."""
-    t = F.trim(F.replace(normalize_text(c.cast("string")), F.lit(","), F.lit("")))
-    base, power = F.regexp_extract(t, NUMBER, 1), F.regexp_extract(t, NUMBER, 2)
+    base, power = number_parts(c)
     value = base.try_cast("double")
-    out = F.when(power == "", value).otherwise(value * F.pow(F.lit(10.0), power.try_cast("double")))
+    out = F.when(power == "", value).otherwise(value * power_of_ten(power))
     return F.when(c.isNotNull() & out.isNotNull() & ~F.isnan(out) & (F.abs(out) < float("inf")), out)
 
 
@@ -86,7 +96,7 @@ def mobility_multiplier(c: Column) -> Column:
     """STRUCT(scale, unit, note) of a header or unit."""
     t = F.regexp_replace(normalized_header(c), r"(?U)\s+", "")
     power = F.regexp_extract(t, r"10(?:\^)?([+\-]?\d+)", 1)
-    scale = F.when(power == "", F.lit(1.0)).otherwise(F.pow(F.lit(10.0), power.try_cast("double")))
+    scale = F.when(power == "", F.lit(1.0)).otherwise(power_of_ten(power))
     told = lambda s, u, n: F.struct(s.alias("scale"), F.lit(u).alias("unit"), F.lit(n).alias("note"))
     return (
         F.when(t.rlike(r"cm\^?2"), told(scale, "cm2 V-1 s-1", ""))
