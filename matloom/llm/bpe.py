@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
@@ -60,6 +61,19 @@ def _digest(ids: list[int] | np.ndarray) -> bytes:
     return np.asarray(ids, "<u4").tobytes()
 
 
+def _parts(batch: pa.RecordBatch, column: str, limit: int = V.SLICE_BYTES) -> Iterator[list[dict]]:
+    """The batch's rows in slices of so many bytes of the column: as Python objects, a whole batch of long texts would take hundreds of MB a worker."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)
+    for a, b in V.sliced(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), limit):
+        yield batch.slice(a, b - a).to_pylist()
+
+
+def _lists(raw: list[bytes]) -> pa.Array:
+    """Ids, as little-endian bytes, as lists."""
+    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw], dtype=np.int64)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+
+
 def encoded(documents: DataFrame, rank_file: str, pattern: str, text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, keep_ids: bool = False) -> DataFrame:
     """documents without the text, with n_tokens, ids_sha256, decoded_sha256, and the ids themselves as token_ids if keep_ids.
 
@@ -74,26 +88,27 @@ def encoded(documents: DataFrame, rank_file: str, pattern: str, text: str = "tex
     if keep_ids:
         schema = schema.add("token_ids", T.ArrayType(T.IntegerType()))
 
-    def made(enc: tiktoken.Encoding, ids_list: list, kept: list[pa.Array]) -> pa.RecordBatch:
-        columns = [
-            *kept,
-            pa.array([len(x) for x in ids_list], pa.int64()),
-            pa.array([hashlib.sha256(_digest(x)).hexdigest() for x in ids_list], pa.string()),
-            pa.array([hashlib.sha256(enc.decode_bytes(x)).hexdigest() for x in ids_list], pa.string()),
-        ]
-        if keep_ids:
-            columns.append(pa.array([list(map(int, x)) for x in ids_list], pa.list_(pa.int32())))
-        return pa.RecordBatch.from_arrays(columns, schema.names)
+    def made(kept: list[pa.Array], n: list[int], coded: list[str], decoded: list[str], raw: list[bytes]) -> pa.RecordBatch:
+        columns = [*kept, pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
+        return pa.RecordBatch.from_arrays([*columns, _lists(raw)] if keep_ids else columns, schema.names)
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_file, pattern)
         for batch in batches:
             at = batch.schema.get_field_index("_text")
             _, offsets = V.spelled(batch.column(at))
-            for a, b in V.sliced(offsets, 4 << 20):
+            for a, b in V.sliced(offsets):
                 part = batch.slice(a, b - a)
-                ids = [enc.encode_ordinary(t) for t in part.column(at).to_pylist()]
-                yield made(enc, ids, [part.column(k) for k in range(len(keep))])
+                n, coded, decoded, raw = [], [], [], []
+                for t in part.column(at).to_pylist():
+                    ids = enc.encode_ordinary(t)  # Python integers of one text at a time
+                    own_ids = _digest(ids)
+                    n.append(len(ids))
+                    coded.append(hashlib.sha256(own_ids).hexdigest())
+                    decoded.append(hashlib.sha256(enc.decode_bytes(ids)).hexdigest())
+                    if keep_ids:
+                        raw.append(own_ids)
+                yield made([part.column(k) for k in range(len(keep))], n, coded, decoded, raw)
 
     done = rows.filter(F.length("_text") <= chunk).mapInArrow(short, schema)
 
@@ -111,11 +126,11 @@ def encoded(documents: DataFrame, rank_file: str, pattern: str, text: str = "tex
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = batch.to_pylist()
-            for r in found:
-                r["_early"] = boundaries(r["_part"][: 2 * overlap], pattern, (1, overlap)) if r["_n"] else []
-                r["_late"] = [e - chunk for e in boundaries(r["_part"], pattern, (chunk + 1, chunk + overlap))]
-            yield V.record_batch(found, scan_schema)
+            for found in _parts(batch, "_part"):
+                for r in found:
+                    r["_early"] = boundaries(r["_part"][: 2 * overlap], pattern, (1, overlap)) if r["_n"] else []
+                    r["_late"] = [e - chunk for e in boundaries(r["_part"], pattern, (chunk + 1, chunk + overlap))]
+                yield V.record_batch(found, scan_schema)
 
     scan_schema = T.StructType([*chunks.schema.fields]).add("_early", T.ArrayType(T.IntegerType())).add("_late", T.ArrayType(T.IntegerType()))
     piece_schema = T.StructType([f for f in chunks.schema.fields if f.name != "_part"]).add("_piece", "string")
@@ -125,9 +140,9 @@ def encoded(documents: DataFrame, rank_file: str, pattern: str, text: str = "tex
         """Pieces, cut where neighbours agree. Rows come sorted by key and number."""
         now: dict | None = None
         late: list[int] = []
-        for batch in batches:
+        for part in (x for batch in batches for x in _parts(batch, "_part")):
             out = []
-            for r in batch.to_pylist():
+            for r in part:
                 own = r["_part"][:chunk]
                 if now is None or r["_key"] != now["_key"]:
                     if now is not None:
@@ -157,8 +172,8 @@ def encoded(documents: DataFrame, rank_file: str, pattern: str, text: str = "tex
 
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_file, pattern)
-        for batch in batches:
-            yield V.record_batch([{**r, "_ids": _digest(enc.encode_ordinary(r["_piece"]))} for r in batch.to_pylist()], coded_schema)
+        for part in (x for batch in batches for x in _parts(batch, "_piece")):
+            yield V.record_batch([{**r, "_ids": _digest(enc.encode_ordinary(r["_piece"]))} for r in part], coded_schema)
 
     coded = pieces.repartition(F.col("_key"), F.col("_n")).mapInArrow(ids_of, coded_schema)
 
@@ -168,11 +183,11 @@ def encoded(documents: DataFrame, rank_file: str, pattern: str, text: str = "tex
 
         def ended(s: dict) -> dict:
             row = {c: s["head"][n] for c, n in zip(keep, own, strict=True)} | {"n_tokens": s["count"], "ids_sha256": s["ids"].hexdigest(), "decoded_sha256": s["text"].hexdigest()}
-            return row | {"token_ids": s["all"]} if keep_ids else row
+            return row | {"token_ids": np.frombuffer(b"".join(s["all"]), "<i4")} if keep_ids else row
 
-        for batch in batches:
+        for part in (x for batch in batches for x in _parts(batch, "_ids")):
             out = []
-            for r in batch.to_pylist():
+            for r in part:
                 if now is None or now["key"] != r["_key"]:
                     if now:
                         out.append(ended(now))
@@ -182,7 +197,7 @@ def encoded(documents: DataFrame, rank_file: str, pattern: str, text: str = "tex
                 now["ids"].update(r["_ids"])
                 now["text"].update(enc.decode_bytes(ids))
                 if keep_ids:
-                    now["all"].extend(ids)
+                    now["all"].append(r["_ids"])
             yield V.record_batch(out, schema)
         if now:
             yield V.record_batch([ended(now)], schema)

@@ -419,6 +419,31 @@ def test_bpe(spark, edges):
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text).hexdigest())
 
 
+def test_bpe_memory(spark, monkeypatch):
+    """A worker holds the Python integers of one short text, and chunks of one slice, however large the batch is."""
+    import tracemalloc
+
+    import public_tokenizers as P
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    steps, plain = [], Classic.mapInArrow
+    monkeypatch.setattr(Classic, "mapInArrow", lambda self, f, schema, *a: (steps.append(f), plain(self, f, schema, *a))[1])
+    file = P.path("byte_bpe_multi_50k.tiktoken")
+    bpe.encoded(spark.createDataFrame([(1, "a")], "c0 long, text string"), file, P.PATTERN, keep_ids=True)
+    short, scanned = steps[0], steps[1]
+    bpe.encoding(file, P.PATTERN)
+    text = " ".join(str(k) for k in range(2500))
+    for step, batch, most in (
+        (short, pa.RecordBatch.from_pydict({"c0": list(range(400)), "_text": [text] * 400}), 14 << 20),
+        (scanned, pa.RecordBatch.from_pydict({"_key": ["k"] * 1200, "_head": [{"c0": 1}] * 1200, "_n": list(range(1200)), "_part": [text] * 1200}), 24 << 20),
+    ):
+        tracemalloc.start()
+        assert sum(b.num_rows for b in step(iter([batch]))) == batch.num_rows
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most, f"{peak / (1 << 20):.0f} MB"
+
+
 @pytest.mark.parametrize("chunk", [99, 100, 300])
 def test_bpe_of_digits(spark, chunk):
     """Digits that a pattern takes in threes never synchronise by themselves; repeated rows, clashing columns, an empty table."""
