@@ -19,6 +19,11 @@ BEFORE_WORD = rf"(?i)({_PLAIN}).{{0,25}}?({_UNIT}[^,;.\n]*).{{0,80}}?(?:{_WORD})
 TEMPERATURE = r"(?i)(?:at|near|temperature(?:\s+of)?)\s*(room temperature|RT|\d+(?:\.\d+)?\s*(?:K|°C))"
 
 
+def let(value: Column, body) -> Column:  # noqa: ANN001
+    """body(value) with the value computed once. Functions over arrays interpret what stands in them, so that each mention of an expression there is computed anew."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize_doi(c: Column) -> Column:
     out = F.regexp_replace(F.trim(c), r"(?i)^https?://(?:dx\.)?doi\.org/", "")
     out = F.trim(F.regexp_replace(out, r"(?i)^doi:\s*", ""))
@@ -57,9 +62,9 @@ def number_parts(c: Column, pattern: str = NUMBER) -> tuple[Column, Column]:
 def parse_number(c: Column) -> Column:
     """The first number of the text, with its power of ten; null without one."""
     base, power = number_parts(c)
-    value = base.try_cast("double")
-    out = F.when(power == "", value).otherwise(value * power_of_ten(power))
-    return F.when(c.isNotNull() & out.isNotNull() & ~F.isnan(out) & (F.abs(out) < float("inf")), out)
+    parts = F.struct(base.try_cast("double").alias("value"), power.alias("power"))
+    out = let(parts, lambda n: F.when(n["power"] == "", n["value"]).otherwise(n["value"] * power_of_ten(n["power"])))
+    return let(out, lambda v: F.when(F.abs(v) < float("inf"), v))
 
 
 def format_number(c: Column) -> Column:
@@ -67,7 +72,7 @@ def format_number(c: Column) -> Column:
     power = F.floor(F.log10(F.abs(c)))
     power = F.when(F.abs(c) >= F.pow(F.lit(10.0), power + 1), power + 1).otherwise(power).cast("int")
     digits = F.greatest(F.lit(0), 11 - power)
-    plain = F.element_at(F.array(*[F.format_string(f"%.{d}f", c) for d in range(16)]), F.least(digits, F.lit(15)) + 1)
+    plain = F.call_function("format_string", F.concat(F.lit("%."), F.least(digits, F.lit(15)).cast("string"), F.lit("f")), c)
     plain = F.when(F.contains(plain, F.lit(".")), F.regexp_replace(F.regexp_replace(plain, "0+$", ""), r"\.$", "")).otherwise(plain)
     mantissa = F.regexp_replace(F.regexp_replace(F.format_string("%.11f", c / F.pow(F.lit(10.0), power)), "0+$", ""), r"\.$", "")
     sign = F.when(power < 0, F.lit("-")).otherwise(F.lit("+"))

@@ -52,19 +52,20 @@ def validation_notes(rules: dict | None = None, formula: str = DATASET[0], tempe
     """Array of what is wrong with a row, in a fixed order; empty if nothing is."""
     rules = DEFAULT_RULES | (rules or {})
     f, c = F.col(formula), F.coalesce
-    t, m = X.parse_number(F.col(temperature)), X.parse_number(F.col(mobility))
     need = F.array(*[F.lit(x) for x in rules["required_elements"]]).cast("array<string>")
     (t0, t1), (m0, m1) = rules["temperature_K"], rules["mobility_cm2_Vs"]
-    notes = [
+    told = lambda t, m: [
         F.when(c(f, F.lit("")) == "", "chemical formula missing").when(F.size(F.array_except(need, X.elements_of(f))) > 0, f"formula does not contain required elements {sorted(rules['required_elements'])}"),
         F.when(f.rlike("[δxyz]"), "formula contains a symbolic stoichiometry variable"),
         F.when(t.isNull(), "temperature missing").when((t < t0) | (t > t1), "temperature outside configured range"),
         F.when(m.isNull(), "mobility missing").when((m <= m0) | (m > m1), "mobility outside configured range"),
     ]
+    codes = []
     for name in ("Crystal_form", "Direction"):
         value, allowed = c(F.col(name).cast("string"), F.lit("")), [str(x) for x in rules[name]]
-        notes.append(F.when(value == "", f"{name} missing").when(~value.isin(allowed) if allowed else F.lit(False), F.concat(F.lit(f"{name} has invalid code '"), value, F.lit("'"))))
-    return F.array_compact(F.array(*notes))
+        codes.append(F.when(value == "", f"{name} missing").when(~value.isin(allowed) if allowed else F.lit(False), F.concat(F.lit(f"{name} has invalid code '"), value, F.lit("'"))))
+    numbers = F.struct(X.parse_number(F.col(temperature)).alias("t"), X.parse_number(F.col(mobility)).alias("m"))
+    return X.let(numbers, lambda n: F.array_compact(F.array(*told(n["t"], n["m"]), *codes)))
 
 
 def best_candidates(df: DataFrame, seq: str = "seq", by: list[str] | None = None) -> DataFrame:

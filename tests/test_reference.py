@@ -114,6 +114,16 @@ def test_vertical_table(spark):
     assert found[0]["evidence"] == "Mobility (cm2 V-1 s-1) | Bi2Te3 | DNA note | 1000 | 2e19 | 120" and found[0]["validation_notes"].startswith("table recovered")
 
 
+def test_vertical_tables_compute_once(spark):
+    """What ends a row's numbers stands once in the plan: a filter pushed below it copied it, and the copies were computed for each line."""
+    df = extract.vertical_candidates(spark.createDataFrame([("s", "d", "t", 1, "")], PAGES), SCHEMA)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_position") == 1
+    long = "Mobility (cm2/Vs)\n" + "\n".join(f"Bi2Te{k}\n1\n2\n{k}\nnote\n4" for k in range(1, 40)) + "\nBi2Te50\n1\n2"
+    found = extract.vertical_candidates(spark.createDataFrame([("s", "d", "t", 1, long), ("s", "d", "t", 2, "no word\nBi2Te3\n1\n2\n3"), ("s", "d", "t", 3, None)], PAGES), SCHEMA).orderBy("at").collect()
+    assert [(r["Crystal_structure"], r["N_type_carrier"]) for r in found] == [(f"Bi2Te{k}", str(k)) for k in range(1, 40)]
+
+
 def test_text_blocks(spark):
     """The first number after the word wins; the order of emission is lists, vertical tables, sentences."""
     text = "The Hall mobility of Bi2Te3 is 125.5 cm2 V-1 s-1\u00a0at room temperature. Nothing;\n\nmu_H = 2.5 x 10^-2 m2/Vs"
