@@ -11,8 +11,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import written
+
 # The polynomial of the normal distribution function (error under 7.5e-8).
 PHI = (0.2316419, 0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
+#: Values of a table that a prediction fills at once: 16 MB.
+BLOCK = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -45,8 +49,8 @@ def top_k(df: DataFrame, score: str, tie: str, k: int) -> DataFrame:
     return df.orderBy(F.desc(score), F.desc(tie)).limit(k)
 
 
-def split_roles(n: int, config: Config = Config()) -> list[str]:  # noqa: B008
-    """train, test or pool for each row number: one seeded generator shuffles all rows, then what the first draw left."""
+def split_places(n: int, config: Config = Config()) -> tuple[np.ndarray, np.ndarray]:  # noqa: B008
+    """The row numbers of train and of test; all others are the pool. One seeded generator shuffles all rows, then what the first draw left."""
     if n <= config.initial + config.test:
         raise ValueError("too few rows to split")
     random = np.random.RandomState(config.seed)
@@ -54,8 +58,14 @@ def split_roles(n: int, config: Config = Config()) -> list[str]:  # noqa: B008
     random.shuffle(order)
     rest = order[config.initial :].copy()
     random.shuffle(rest)
+    return order[: config.initial], rest[: config.test]
+
+
+def split_roles(n: int, config: Config = Config()) -> list[str]:  # noqa: B008
+    """train, test or pool for each row number."""
+    train, test = split_places(n, config)
     role = np.full(n, "pool", object)
-    role[order[: config.initial]], role[rest[: config.test]] = "train", "test"
+    role[train], role[test] = "train", "test"
     return role.tolist()
 
 
@@ -73,8 +83,11 @@ class Process:
     @staticmethod
     def kernel(a: np.ndarray, b: np.ndarray, theta: np.ndarray) -> np.ndarray:
         length = np.exp(theta[2:])
-        d = np.sqrt(np.maximum(((a[:, None] / length - b[None] / length) ** 2).sum(-1), 0)) * math.sqrt(3)
-        return np.exp(theta[0]) * (1 + d) * np.exp(-d)
+        out, step = np.empty((len(a), len(b))), max(1, BLOCK // max(1, b.size))
+        for k in range(0, len(a), step):  # a block at a time, as its table has a value for each pair and column
+            d = np.sqrt(np.maximum(((a[k : k + step, None] / length - b[None] / length) ** 2).sum(-1), 0)) * math.sqrt(3)
+            out[k : k + step] = np.exp(theta[0]) * (1 + d) * np.exp(-d)
+        return out
 
     @classmethod
     def _loss(cls, theta: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
@@ -142,6 +155,11 @@ class Process:
         return cls(x, np.linalg.solve(chol.T, np.linalg.solve(chol, t)), chol, chosen, mean, scale)
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        step = max(1, BLOCK // max(1, len(self.x)))
+        told = [self._predicted(x[k : k + step]) for k in range(0, max(1, len(x)), step)]
+        return tuple(np.concatenate(t) for t in zip(*told, strict=True))
+
+    def _predicted(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         k = self.kernel(x, self.x, self.theta)
         v = np.linalg.solve(self.chol, k.T)
         variance = np.exp(self.theta[0]) + np.exp(self.theta[1]) - (v**2).sum(0)
@@ -270,7 +288,8 @@ class Learned:
     history: list[tuple] = field(default_factory=list)  # Iteration, Training_Size, Pool_Size, R2
     selected: list[tuple] = field(default_factory=list)  # Iteration, Rank, Feature_Name, LGB_Raw_Importance, Normalized_Weight
     parity: list[tuple] = field(default_factory=list)  # Iteration, row id, y_true, y_pred, residual
-    roles: list[tuple] = field(default_factory=list)  # row id, role, Iteration of its acquisition or 0
+    roles: list[tuple] = field(default_factory=list)  # row number, role, Iteration of its acquisition or 0: of all rows but those left in the pool
+    rows: DataFrame | None = None  # n (the row number), id and the values of all rows
     correlations: list[tuple] = field(default_factory=list)  # Iteration, feature, other feature, r: of the selected ones
     process: Process | None = None
     features: list[str] = field(default_factory=list)
@@ -288,61 +307,91 @@ class Learned:
             "feature_summary": spark.createDataFrame(final, "Feature_Name string, LGB_Raw_Importance long, Normalized_Weight double, Contribution_Percentage double"),
             "parity": spark.createDataFrame(self.parity, parity),
             "correlations": spark.createDataFrame(self.correlations, "Iteration int, feature string, other string, r double"),
-            "roles": spark.createDataFrame(self.roles, "row_id long, role string, acquired_iter int"),
+            "roles": self.rows.select("n", F.col("id").cast("long").alias("row_id")).join(F.broadcast(spark.createDataFrame(self.roles, "n long, role string, acquired_iter int")), "n", "left")
+            .select("row_id", F.coalesce("role", F.lit("pool")).alias("role"), F.coalesce("acquired_iter", F.lit(0)).alias("acquired_iter")),
             "summary": spark.createDataFrame([(last[0], last[3], config.initial, config.test, config.acquired, config.features)], "Total_Iterations int, Final_Converged_R2 double, Initial_Training_Size int, Fixed_Test_Size int, Selected_Per_Iteration int, Top_Features int"),
         }
 
 
+def numbered(df: DataFrame, order: str) -> tuple[DataFrame, int]:
+    """df with n, its row's number in that order, as a written table; and the count of rows. No row goes to the driver."""
+    rows = df.orderBy(order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_at"))
+    rows = written(rows, "numbered")
+    sizes = {r["_part"]: r["count"] for r in rows.groupBy("_part").count().collect()}
+    before = np.concatenate([[0], np.cumsum([sizes.get(k, 0) for k in range(max(sizes, default=0) + 1)])]).tolist()
+    starts = F.array(*[F.lit(k).cast("long") for k in before])
+    return rows.withColumn("n", F.get(starts, F.col("_part")) + F.col("_at")).drop("_part", "_at"), before[-1]
+
+
+def improvements(rows: DataFrame, columns: list[str], process: Process, mean: np.ndarray, width: np.ndarray, best: float) -> DataFrame:
+    """(n, ei): the Expected Improvement of each row, in tasks."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            mu, sigma = process.predict((f[columns].to_numpy(float) - mean) / width)
+            s = np.maximum(sigma, 1e-9)
+            z = (mu - best) / s
+            ei = (mu - best) * np.array([0.5 * (1 + math.erf(v / math.sqrt(2))) for v in z]) + s * np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+            yield pd.DataFrame({"n": f["n"], "ei": ei})
+
+    return rows.select("n", *columns).mapInPandas(run, "n long, ei double")
+
+
 def learned(df: DataFrame, row_id: str, columns: list[str], target: str, config: Config = Config()) -> Learned:  # noqa: B008
     """Rounds of selecting features, fitting, scoring on the test rows and acquiring by Expected Improvement until R2 settles or the pool is empty.
 
-    Rows are those of a labelled experiment table, which a person measured: they fit the driver, where the sequential choice runs; the
+    Rows of train and test are on the driver, where the sequential choice runs; the pool stays a table, which tasks score. The
     starts of a fit are Spark tasks.
     """
     from .features import greedy
 
     spark = df.sparkSession
     validated(df, columns, target, config)
-    data = df.select(row_id, *columns, target).orderBy(row_id).toPandas()
-    role = np.array(split_roles(len(data), config), object)
-    acquired = np.zeros(len(data), int)
-    ids, y, out = data[row_id].tolist(), data[target].to_numpy(float), Learned()
+    # The columns go under numbers, so that none of their names can clash with those used here.
+    own = [f"x{k}" for k in range(len(columns))]
+    rows, total = numbered(df.select(F.col(row_id).alias("id"), *[F.col(c).alias(o) for c, o in zip(columns, own, strict=True)], F.col(target).alias("y")), "id")
+
+    def fetched(places: np.ndarray) -> pd.DataFrame:
+        asked = F.broadcast(spark.createDataFrame([(int(k),) for k in places], "n long"))
+        return rows.join(asked, "n").orderBy("n").toPandas()
+
+    train_places, test_places = split_places(total, config)
+    train, test, out = fetched(train_places), fetched(test_places), Learned(rows=rows)
+    roles = {int(k): ("train", 0) for k in train_places} | {int(k): ("test", 0) for k in test_places}
     while True:
-        number, train = len(out.history) + 1, role == "train"
-        x = data[columns].to_numpy(float)
-        usable = np.flatnonzero(np.isfinite(x[train]).all(0))
-        counts = split_counts(x[train][:, usable], y[train], config.trees)
+        number, n_pool = len(out.history) + 1, total - len(train) - len(test)
+        x, y = train[own].to_numpy(float), train["y"].to_numpy(float)
+        usable = np.flatnonzero(np.isfinite(x).all(0))
+        counts = split_counts(x[:, usable], y, config.trees)
         ranked = [columns[usable[k]] for k in np.lexsort((usable, -counts))]
         raw = dict(zip((columns[k] for k in usable), counts.tolist(), strict=True))
         with np.errstate(invalid="ignore", divide="ignore"):
-            corr = np.abs(np.atleast_2d(np.corrcoef(x[train][:, usable].T)))
+            corr = np.abs(np.atleast_2d(np.corrcoef(x[:, usable].T)))
         place = {columns[k]: i for i, k in enumerate(usable)}
         r = {(a, b): (None if np.isnan(corr[place[a], place[b]]) else float(corr[place[a], place[b]])) for a in place for b in place}
         chosen = greedy(ranked, r, config.features, config.cutoff)
         weights = normalized(np.array([raw[f] for f in chosen], float))
         out.selected += [(number, k, f, raw[f], float(w)) for k, (f, w) in enumerate(zip(chosen, weights, strict=True), 1)]
         out.correlations += [(number, a, b, r[a, b]) for a in chosen for b in chosen]
-        x = data[chosen].to_numpy(float)
-        mean, width = x[train].mean(0), x[train].std(0)
+        used = [own[usable[place[f]]] for f in chosen]
+        x = train[used].to_numpy(float)
+        mean, width = x.mean(0), x.std(0)
         width = np.where(width > 0, width, 1)
-        x = (x - mean) / width
-        process = Process.fit(x[train], y[train], config.restarts, config.seed, spark=spark)
-        test, pool = np.flatnonzero(role == "test"), np.flatnonzero(role == "pool")
-        told = process.predict(x[test])[0]
-        score = r2(y[test], told)
-        out.parity += [(number, int(ids[k]), float(y[k]), float(p), float(y[k] - p)) for k, p in zip(test, told, strict=True)]
-        out.history.append((number, int(train.sum()), len(pool), score))
-        out.process, out.features, out.mean, out.width, out.best = process, chosen, mean, width, float(y[train].max())
+        process = Process.fit((x - mean) / width, y, config.restarts, config.seed, spark=spark)
+        told, y_test = process.predict((test[used].to_numpy(float) - mean) / width)[0], test["y"].to_numpy(float)
+        score = r2(y_test, told)
+        out.parity += [(number, int(i), float(v), float(p), float(v - p)) for i, v, p in zip(test["id"], y_test, told, strict=True)]
+        out.history.append((number, len(train), n_pool, score))
+        out.process, out.features, out.mean, out.width, out.best = process, chosen, mean, width, float(y.max())
         last = [h[3] for h in out.history[-config.patience :]]
-        if not len(pool) or (len(last) == config.patience and max(last) - min(last) < config.threshold):
+        if not n_pool or (len(last) == config.patience and max(last) - min(last) < config.threshold):
             break
-        mu, sigma = process.predict(x[pool])
-        s = np.maximum(sigma, 1e-9)
-        z = (mu - out.best) / s
-        ei = (mu - out.best) * np.array([0.5 * (1 + math.erf(v / math.sqrt(2))) for v in z]) + s * np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
-        new = pool[np.lexsort((pool, ei))[::-1][: config.acquired]]
-        role[new], acquired[new] = "train", number
-    out.roles = [(int(i), str(k), int(a)) for i, k, a in zip(ids, role, acquired, strict=True)]
+        taken = F.broadcast(spark.createDataFrame([(k,) for k in roles], "n long"))
+        scored = improvements(rows.join(taken, "n", "left_anti"), used, process, mean, width, out.best)
+        new = [r["n"] for r in top_k(scored, "ei", "n", config.acquired).select("n").collect()]
+        roles |= {int(k): ("train", number) for k in new}
+        train = pd.concat([train, fetched(np.array(new))]).sort_values("n", ignore_index=True)
+    out.roles = [(k, role, i) for k, (role, i) in roles.items()]
     return out
 
 

@@ -333,6 +333,38 @@ def test_learning(spark):
         learning.screened(candidates.drop(run.features[0]), run)
 
 
+def test_large_predictions():
+    """A prediction's tables don't grow with the rows, and its parts are alike."""
+    import tracemalloc
+
+    rng = np.random.RandomState(0)
+    x, y, many = rng.normal(size=(150, 5)), rng.normal(size=150), rng.normal(size=(100_000, 5))
+    process = learning.Process.fit(x, y, restarts=0, steps=5)
+    tracemalloc.start()
+    mu, sigma = process.predict(many)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20, f"{peak / (1 << 20):.0f} MB"
+    few = process.predict(many[77_000:77_010])
+    assert np.allclose(mu[77_000:77_010], few[0]) and np.allclose(sigma[77_000:77_010], few[1]) and len(mu) == 100_000
+
+
+def test_pool_stays_a_table(spark, monkeypatch):
+    """Of a large table only train and test rows come to the driver; row numbers are those of the order."""
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    sizes, plain = [], Classic.toPandas
+    monkeypatch.setattr(Classic, "toPandas", lambda self: (sizes.append(len(f := plain(self))), f)[1])
+    rows, n = learning.numbered(spark.range(0, 3000).select((F.col("id") * 7919 % 3000 * 2).alias("id")), "id")
+    assert n == 3000 and rows.filter("id != 2 * n").count() == 0
+    df, config = labelled(spark, 2000).repartition(7), learning.Config(features=2, restarts=0, acquired=30, trees=5, threshold=10)
+    run = learning.learned(df, "row_id", ["a", "b", "c", "d"], "y", config)
+    assert [h[:3] for h in run.history] == [(1, 50, 1900), (2, 80, 1870)] and sizes == [50, 50, 30]
+    roles = {r["row_id"]: (r["role"], r["acquired_iter"]) for r in run.tables(spark, config)["roles"].collect()}
+    first = learning.split_roles(2000)
+    assert all(roles[k][0] == r or (r, roles[k]) == ("pool", ("train", 1)) for k, r in enumerate(first)) and sum(r == ("train", 1) for r in roles.values()) == 30
+
+
 @pytest.mark.parametrize("change, error", [("y = double('nan')", "target"), ("a = double('inf')", "infinite")])
 def test_bad_rows(spark, change, error):
     name, value = change.split(" = ")
