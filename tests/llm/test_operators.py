@@ -283,6 +283,38 @@ def test_fuzzy_passages(spark, each):
     assert all(r["n_words"] >= 50 and r["identity"] >= 0.8 for r in found)
 
 
+def test_passages_of_hot_seeds(spark):
+    """Two documents of a whole passage with edits are connected though each of its shingles stands in a dozen others, of which none shares 50 words; nothing else is."""
+    rng, rows, pairs = random.Random(21), [], set()
+    for _ in range(8):
+        p = apart(rng, 60)
+        for i in range(0, 60, 10):
+            rows += [apart(rng, 30) + p[max(0, i - 6) : i + 16] + apart(rng, 30) for _ in range(12)]
+        for _ in range(2):
+            q = list(p)
+            for k in rng.sample(range(5, 55), 3):
+                q[k] = f"e{rng.randrange(10**9)}"
+            rows.append(apart(rng, 20) + q + apart(rng, 20))
+        pairs.add(frozenset((len(rows) - 2, len(rows) - 1)))
+    found = substrings.passages(spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], SCHEMA)).collect()
+    assert {frozenset((r["doc_id"], r["other_doc_id"])) for r in found} == pairs
+    for r in found:
+        a, b = (rows[r[f"{x}doc_id"]][r[f"{x}from_word"] : r[f"{x}to_word"]] for x in ("", "other_"))
+        assert 50 <= r["n_words"] <= 60 and r["identity"] >= 0.8 and len(a) == len(b) and sum(x == y for x, y in zip(a, b, strict=True)) >= 0.8 * len(a)
+
+
+def test_hot_seeds_in_parts():
+    """Occurrences of one seed in two parts: the pairs across, unless others connect them or a common word before shows that they are met elsewhere."""
+    rng = np.random.RandomState(3)
+    words = rng.randint(0, 1 << 31, (6, 254))
+    words[:, 125:129] = [1, 2, 3, 4]
+    words[3, 100:160], words[5, 100:160] = words[0, 100:160], words[1, 100:160]
+    words[4, 100:140] = words[2, 100:140]  # too short
+    def met(label, before):
+        return {(i, j) for i, j, _ in substrings.compared(words, np.arange(6), np.array(before), np.array(label), np.array([0, 0, 0, 1, 1, 1]), 50, 0.8)}
+    assert met(range(6), [0] * 6) == {(3, 0), (5, 1)} and met([0, 1, 2, 0, 4, 5], [0] * 6) == {(5, 1)} and met(range(6), [0, 7, 0, 0, 0, 7]) == {(3, 0)}
+
+
 def test_chains():
     rng = np.random.RandomState(1)
     at, other = rng.randint(0, 40, 30), rng.randint(0, 40, 30)
