@@ -358,6 +358,46 @@ def test_hot_seeds_in_parts():
     assert met(range(6), [0] * 6) == {(3, 0), (5, 1)} and met([0, 1, 2, 0, 4, 5], [0] * 6) == {(5, 1)} and met(range(6), [0, 7, 0, 0, 0, 7]) == {(3, 0)}
 
 
+def test_reached():
+    """How far alignments go that end with equal words, by edits: all distances by brute force."""
+    rng = np.random.RandomState(1)
+    size, most = 18, 4
+    a = rng.randint(0, 4, (size, 60)).astype(np.int32)
+    b = np.full((size, 60), -1, np.int32)
+    for c in range(60):
+        own = a[:, c].tolist()
+        for kind, at in zip(rng.randint(0, 3, c % 7), rng.randint(0, 12, c % 7), strict=True):
+            own[at : at + (kind != 1)] = [9] if kind < 2 else []
+        own = own[:size]
+        b[: len(own), c] = own
+    found = substrings.reached(a, b, most + 1, most)
+    for c in range(60):
+        best, d = np.zeros((3, most + 1), int), np.add.outer(np.arange(size + 1), np.arange(size + 1))
+        for i in range(1, size + 1):
+            for j in range(1, size + 1):
+                d[i, j] = min(d[i - 1, j - 1] + (a[i - 1, c] != b[j - 1, c]), d[i - 1, j] + 1, d[i, j - 1] + 1)
+                if a[i - 1, c] == b[j - 1, c] and d[i - 1, j - 1] <= most:
+                    best[:, d[i - 1, j - 1] :] = np.maximum(best[:, d[i - 1, j - 1] :], np.array([[i], [j], [i + j]]))
+        assert (found[:, :, c] == best).all()
+
+
+def test_near_misses_are_not_aligned(monkeypatch):
+    """Occurrences that share a line too short for a passage are told apart without an alignment; passages among them are found, also of more edits than the bound counts."""
+    rng = np.random.RandomState(5)
+    words = rng.randint(0, 1 << 31, (40, 254))
+    words[:, 100:145] = words[0, 100:145]
+    words[7, 95:160] = words[31, 95:160]
+    words[12, 20:240] = words[25, 20:240]
+    words[12, 150:240:4] = words[12, 22:96:4][:1]  # 23 edits behind the line
+    words[12, 20:96:5] = 1  # 16 before it
+    sizes, plain = [], substrings.extended
+    monkeypatch.setattr(substrings, "extended", lambda a, *rest: (sizes.append(a.shape[1]), plain(a, *rest))[1])
+    zero = np.zeros(40, int)
+    found = {(i, j): rows for i, j, rows in substrings.compared(words, np.arange(40), zero, np.arange(40), zero, 50, 0.8)}
+    assert set(found) == {(31, 7), (25, 12)} and found[31, 7] == [(95, 160, 95, 160, 1.0)]
+    assert sum(sizes) <= 8  # of 780 pairs, two sides each
+
+
 def test_chains():
     rng = np.random.RandomState(1)
     at, other = rng.randint(0, 40, 30), rng.randint(0, 40, 30)
